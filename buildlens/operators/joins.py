@@ -79,6 +79,7 @@ def resolve_commit(
 def resolve_commit_asof(
     requests: DataFrame, commits: DataFrame, keys: list[str], ts: str, sha: str = "sha",
     tie: str | None = None, out: str = "commit", seconds: int = ordered.DAY,
+    crowd: int = ordered.CROWD,
 ) -> DataFrame:
     """The head at request time: the last commit with a time at or before it.
 
@@ -90,7 +91,7 @@ def resolve_commit_asof(
     )
     asked = requests.select(*keys, ts).distinct().withColumn("__sha", F.lit(None).cast("string"))
     line = points.unionByName(asked).groupBy(*keys, ts).agg(F.max("__sha").alias("__sha"))
-    heads = ordered.last_known(line, keys, ts, "__sha", out, seconds).drop("__sha")
+    heads = ordered.last_known(line, keys, ts, "__sha", out, seconds, crowd).drop("__sha")
     return requests.join(heads, [*keys, ts], "left")
 
 

@@ -1,95 +1,136 @@
 """Ordered computations over keys of any size.
 
-A window over a key puts all rows of that key into one task. These functions cut
-each key into stretches of time, work inside a stretch, and carry one summary row
-per stretch to the next. The rows then spread over (key, stretch), and only the
-summaries meet on the key. Keys must not be null.
+A window over a key puts all rows of that key into one task. These functions cut the
+time of a key into stretches (a day by default), and a stretch with more than
+``crowd`` rows of one key into seconds. They work inside each piece and carry one
+summary row per piece to the pieces after it, first within the stretch, then from
+stretch to stretch. So no task orders more than a crowd of rows or one second of
+one key, and only summaries meet on the key. Keys must not be null.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 DAY = 86_400
-_STRETCH = "__stretch"
+CROWD = 1_000_000
+_STRETCH, _PIECE = "__stretch", "__piece"
+_SECOND = 1_000_000
+
+
+def _cut(df: DataFrame, keys: list[str], ts: str, seconds: int, crowd: int) -> DataFrame:
+    """Name the stretch and the piece of each row."""
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = df.withColumn(_STRETCH, F.floor(micros / F.lit(seconds * _SECOND)))
+    crowded = (
+        rows.groupBy(*keys, _STRETCH).agg(F.count("*").alias("__n"))
+        .filter(F.col("__n") > crowd).select(*keys, _STRETCH, F.lit(True).alias("__crowded"))
+    )
+    # At most one row per ``crowd`` rows of the input, hence small enough to broadcast.
+    return rows.join(F.broadcast(crowded), [*keys, _STRETCH], "left").withColumn(
+        _PIECE, F.when(F.col("__crowded"), F.floor(micros / F.lit(_SECOND))).otherwise(-1)
+    ).drop("__crowded")
+
+
+def _carry(
+    rows: DataFrame, keys: list[str], summary: Column, total: Column,
+    over: Callable[[str, WindowSpec], Column], join: Callable[[Column, Column], Column],
+) -> DataFrame:
+    """What the pieces on one side of each piece amount to, as ``__carry``.
+
+    ``summary`` reduces a piece, ``total`` a stretch; ``over`` reads the summaries on
+    the wanted side of a window; ``join`` puts the near and the far part together.
+    """
+    parts = rows.groupBy(*keys, _STRETCH, _PIECE).agg(summary.alias("__part"))
+    far = (
+        parts.groupBy(*keys, _STRETCH).agg(total.alias("__total"))
+        .withColumn("__far", over("__total", Window.partitionBy(*keys).orderBy(_STRETCH)))
+        .drop("__total")
+    )
+    near = over("__part", Window.partitionBy(*keys, _STRETCH).orderBy(_PIECE))
+    return parts.withColumn("__near", near).join(far, [*keys, _STRETCH]).select(
+        *keys, _STRETCH, _PIECE, join(F.col("__near"), F.col("__far")).alias("__carry")
+    )
 
 
-def _stretch(ts: str, seconds: int) -> Column:
-    return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(seconds * 1_000_000))
+def _before(window: WindowSpec) -> WindowSpec:
+    return window.rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _with_stretch(df: DataFrame, ts: str, seconds: int) -> DataFrame:
-    return df.withColumn(_STRETCH, _stretch(ts, seconds))
+def _up_to_here(keys: list[str], ts: str) -> WindowSpec:
+    return Window.partitionBy(*keys, _STRETCH, _PIECE).orderBy(ts) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def neighbour(
     df: DataFrame, keys: list[str], ts: str, tie: list[str], cols: dict[str, str],
-    direction: str, seconds: int = DAY,
+    direction: str, seconds: int = DAY, crowd: int = CROWD,
 ) -> DataFrame:
     """Columns of the row before (``previous``) or after (``next``) in (ts, tie) order.
 
     ``cols`` maps new names to the columns they take. (keys, ts, tie) must be unique.
     """
-    work = _with_stretch(df, ts, seconds)
-    taken = F.struct(*[F.col(c).alias(n) for n, c in cols.items()])
-    order = F.struct(*[F.col(c) for c in [ts, *tie]])
-    inside = Window.partitionBy(*keys, _STRETCH).orderBy(ts, *tie)
-    across = Window.partitionBy(*keys).orderBy(_STRETCH)
     if direction == "previous":
-        local, edge, shift = F.lag(taken).over(inside), F.max_by(taken, order), F.lag
+        shift, edge = F.lag, F.max_by
     elif direction == "next":
-        local, edge, shift = F.lead(taken).over(inside), F.min_by(taken, order), F.lead
+        shift, edge = F.lead, F.min_by
     else:
         raise ValueError(f"unknown direction {direction!r}")
-    edges = (
-        work.groupBy(*keys, _STRETCH).agg(edge.alias("__edge"))
-        .withColumn("__carry", shift("__edge").over(across)).drop("__edge")
+    rows = _cut(df, keys, ts, seconds, crowd)
+    taken = F.struct(*[F.col(c).alias(n) for n, c in cols.items()])
+    carry = _carry(
+        rows, keys,
+        summary=edge(taken, F.struct(*[F.col(c) for c in [ts, *tie]])),
+        total=edge("__part", _PIECE),
+        over=lambda c, w: shift(c).over(w),
+        join=lambda near, far: F.coalesce(near, far),
     )
-    joined = work.withColumn("__local", local).join(edges, [*keys, _STRETCH], "left")
+    inside = Window.partitionBy(*keys, _STRETCH, _PIECE).orderBy(ts, *tie)
     found = F.coalesce("__local", "__carry")
-    return joined.select(*df.columns, *[found[n].alias(n) for n in cols])
+    return (
+        rows.withColumn("__local", shift(taken).over(inside))
+        .join(carry, [*keys, _STRETCH, _PIECE], "left")
+        .select(*df.columns, *[found[n].alias(n) for n in cols])
+    )
 
 
 def running_sum(
-    df: DataFrame, keys: list[str], ts: str, value: str, out: str, seconds: int = DAY
+    df: DataFrame, keys: list[str], ts: str, value: str, out: str,
+    seconds: int = DAY, crowd: int = CROWD,
 ) -> DataFrame:
     """Sum of ``value`` up to and including each row; (keys, ts) must be unique."""
-    work = _with_stretch(df, ts, seconds)
-    inside = Window.partitionBy(*keys, _STRETCH).orderBy(ts) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy(*keys).orderBy(_STRETCH) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        work.groupBy(*keys, _STRETCH).agg(F.sum(value).alias("__sum"))
-        .withColumn("__carry", F.coalesce(F.sum("__sum").over(before), F.lit(0)))
-        .drop("__sum")
+    rows = _cut(df, keys, ts, seconds, crowd)
+    carry = _carry(
+        rows, keys, summary=F.sum(value), total=F.sum("__part"),
+        over=lambda c, w: F.coalesce(F.sum(c).over(_before(w)), F.lit(0)),
+        join=lambda near, far: near + far,
     )
     return (
-        work.withColumn("__local", F.sum(value).over(inside))
-        .join(carried, [*keys, _STRETCH], "left")
+        rows.withColumn("__local", F.sum(value).over(_up_to_here(keys, ts)))
+        .join(carry, [*keys, _STRETCH, _PIECE], "left")
         .select(*df.columns, (F.col("__local") + F.col("__carry")).alias(out))
     )
 
 
 def last_known(
-    df: DataFrame, keys: list[str], ts: str, value: str, out: str, seconds: int = DAY
+    df: DataFrame, keys: list[str], ts: str, value: str, out: str,
+    seconds: int = DAY, crowd: int = CROWD,
 ) -> DataFrame:
     """The last non-null ``value`` up to and including each row; (keys, ts) must be unique."""
-    work = _with_stretch(df, ts, seconds)
-    inside = Window.partitionBy(*keys, _STRETCH).orderBy(ts) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy(*keys).orderBy(_STRETCH) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    latest = F.max_by(value, F.when(F.col(value).isNotNull(), F.col(ts)))
-    carried = (
-        work.groupBy(*keys, _STRETCH).agg(latest.alias("__last"))
-        .withColumn("__carry", F.last("__last", ignorenulls=True).over(before))
-        .drop("__last")
+    rows = _cut(df, keys, ts, seconds, crowd)
+    carry = _carry(
+        rows, keys,
+        summary=F.max_by(value, F.when(F.col(value).isNotNull(), F.col(ts))),
+        total=F.max_by("__part", F.when(F.col("__part").isNotNull(), F.col(_PIECE))),
+        over=lambda c, w: F.last(c, ignorenulls=True).over(_before(w)),
+        join=lambda near, far: F.coalesce(near, far),
     )
-    local = F.last(value, ignorenulls=True).over(inside)
+    local = F.last(value, ignorenulls=True).over(_up_to_here(keys, ts))
     return (
-        work.withColumn("__local", local)
-        .join(carried, [*keys, _STRETCH], "left")
+        rows.withColumn("__local", local)
+        .join(carry, [*keys, _STRETCH, _PIECE], "left")
         .select(*df.columns, F.coalesce("__local", "__carry").alias(out))
     )

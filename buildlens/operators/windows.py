@@ -55,21 +55,22 @@ def latest_status(df: DataFrame, ids: list[str], order: list[str]) -> DataFrame:
 
 def status_transitions(
     df: DataFrame, ids: list[str], ts: str = "ts", tie: list[str] = ["event_id"],
-    status: str = "status", seconds: int = ordered.DAY,
+    status: str = "status", seconds: int = ordered.DAY, crowd: int = ordered.CROWD,
 ) -> DataFrame:
     """State changes with the state before and the time until the next change."""
     seen = ordered.neighbour(
-        df, ids, ts, tie, {"previous_status": status}, "previous", seconds
+        df, ids, ts, tie, {"previous_status": status}, "previous", seconds, crowd
     )
     changes = seen.filter(~F.col(status).eqNullSafe(F.col("previous_status")))
-    timed = ordered.neighbour(changes, ids, ts, tie, {"__next": ts}, "next", seconds)
+    timed = ordered.neighbour(changes, ids, ts, tie, {"__next": ts}, "next", seconds, crowd)
     micros = F.unix_micros(F.col("__next").cast("timestamp")) - \
         F.unix_micros(F.col(ts).cast("timestamp"))
     return timed.withColumn("in_state_us", micros).drop("__next")
 
 
 def parallel_load(
-    df: DataFrame, keys: list[str], start: str, end: str, seconds: int = ordered.DAY
+    df: DataFrame, keys: list[str], start: str, end: str, seconds: int = ordered.DAY,
+    crowd: int = ordered.CROWD,
 ) -> DataFrame:
     """Tasks running at each start: started at or before it and not ended by then.
 
@@ -85,7 +86,7 @@ def parallel_load(
     instants = events.groupBy(*keys, "instant").agg(
         F.sum("change").alias("change"), F.sum("starts").alias("starts")
     )
-    load = ordered.running_sum(instants, keys, "instant", "change", "running", seconds)
+    load = ordered.running_sum(instants, keys, "instant", "change", "running", seconds, crowd)
     return load.filter(F.col("starts") > 0).select(*keys, "instant", "starts", "running")
 
 

@@ -113,7 +113,7 @@ def read_image_tags(df: DataFrame, col: str = "tags") -> DataFrame:
 def write_facts(df: DataFrame, path: str) -> None:
     """Append metric rows; readers of one repository touch only its folder.
 
-    Rows are spread by commit too, so a large repository is written by many tasks.
+    Rows are rebalanced by repository: small ones share a task, and a repository with
+    very many rows is cut into pieces of the advisory size.
     """
-    spread = df.repartition("repo", F.pmod(F.xxhash64("commit"), F.lit(64)))
-    spread.write.partitionBy("repo").mode("append").parquet(path)
+    df.hint("rebalance", "repo").write.partitionBy("repo").mode("append").parquet(path)
