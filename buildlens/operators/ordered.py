@@ -2,10 +2,10 @@
 
 A window over a key puts all rows of that key into one task. These functions cut the
 time of a key into stretches (a day by default), and a stretch with more than
-``crowd`` rows of one key into seconds. They work inside each piece and carry one
-summary row per piece to the pieces after it, first within the stretch, then from
-stretch to stretch. So no task orders more than a crowd of rows or one second of
-one key, and only summaries meet on the key. Keys must not be null.
+``crowd`` rows of one key into as many even pieces as it holds crowds. They work
+inside each piece and carry one summary row per piece to the pieces beside it. So
+rows spread over (key, stretch, piece), and only the summaries meet on the key: one
+per day that has rows, and one more per ``crowd`` rows. Keys must not be null.
 """
 
 from __future__ import annotations
@@ -18,51 +18,51 @@ from pyspark.sql import functions as F
 DAY = 86_400
 CROWD = 1_000_000
 _STRETCH, _PIECE = "__stretch", "__piece"
-_SECOND = 1_000_000
 
 
 def _cut(df: DataFrame, keys: list[str], ts: str, seconds: int, crowd: int) -> DataFrame:
-    """Name the stretch and the piece of each row."""
+    """Name the stretch and the piece of each row; both grow with time."""
+    length = seconds * 1_000_000
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = df.withColumn(_STRETCH, F.floor(micros / F.lit(seconds * _SECOND)))
+    rows = df.withColumn(_STRETCH, F.floor(micros / F.lit(length)))
+    width = F.greatest(F.floor(F.lit(float(length) * crowd) / F.col("__n")), F.lit(1))
     crowded = (
         rows.groupBy(*keys, _STRETCH).agg(F.count("*").alias("__n"))
-        .filter(F.col("__n") > crowd).select(*keys, _STRETCH, F.lit(True).alias("__crowded"))
+        .filter(F.col("__n") > crowd).select(*keys, _STRETCH, width.alias("__width"))
     )
     # At most one row per ``crowd`` rows of the input, hence small enough to broadcast.
+    into = F.floor((micros - F.col(_STRETCH) * F.lit(length)) / F.col("__width"))
     return rows.join(F.broadcast(crowded), [*keys, _STRETCH], "left").withColumn(
-        _PIECE, F.when(F.col("__crowded"), F.floor(micros / F.lit(_SECOND))).otherwise(-1)
-    ).drop("__crowded")
+        _PIECE, F.coalesce(into, F.lit(0))
+    ).drop("__width")
 
 
-def _carry(
-    rows: DataFrame, keys: list[str], summary: Column, total: Column,
-    over: Callable[[str, WindowSpec], Column], join: Callable[[Column, Column], Column],
+def _with_carry(
+    rows: DataFrame, keys: list[str], local: Column, summary: Column,
+    over: Callable[[str, WindowSpec], Column],
 ) -> DataFrame:
-    """What the pieces on one side of each piece amount to, as ``__carry``.
+    """``rows`` with ``local``, and what the pieces on one side amount to as ``__carry``.
 
-    ``summary`` reduces a piece, ``total`` a stretch; ``over`` reads the summaries on
-    the wanted side of a window; ``join`` puts the near and the far part together.
+    ``summary`` reduces a piece; ``over`` reads the summaries on the wanted side.
     """
-    parts = rows.groupBy(*keys, _STRETCH, _PIECE).agg(summary.alias("__part"))
-    far = (
-        parts.groupBy(*keys, _STRETCH).agg(total.alias("__total"))
-        .withColumn("__far", over("__total", Window.partitionBy(*keys).orderBy(_STRETCH)))
-        .drop("__total")
-    )
-    near = over("__part", Window.partitionBy(*keys, _STRETCH).orderBy(_PIECE))
-    return parts.withColumn("__near", near).join(far, [*keys, _STRETCH]).select(
-        *keys, _STRETCH, _PIECE, join(F.col("__near"), F.col("__far")).alias("__carry")
+    across = Window.partitionBy(*keys).orderBy(_STRETCH, _PIECE)
+    carry = (
+        rows.groupBy(*keys, _STRETCH, _PIECE).agg(summary.alias("__part"))
+        .withColumn("__carry", over("__part", across)).drop("__part")
     )
+    return rows.withColumn("__local", local).join(carry, [*keys, _STRETCH, _PIECE], "left")
 
 
 def _before(window: WindowSpec) -> WindowSpec:
     return window.rowsBetween(Window.unboundedPreceding, -1)
 
 
+def _inside(keys: list[str], *order: str) -> WindowSpec:
+    return Window.partitionBy(*keys, _STRETCH, _PIECE).orderBy(*order)
+
+
 def _up_to_here(keys: list[str], ts: str) -> WindowSpec:
-    return Window.partitionBy(*keys, _STRETCH, _PIECE).orderBy(ts) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return _inside(keys, ts).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def neighbour(
@@ -79,22 +79,14 @@ def neighbour(
         shift, edge = F.lead, F.min_by
     else:
         raise ValueError(f"unknown direction {direction!r}")
-    rows = _cut(df, keys, ts, seconds, crowd)
     taken = F.struct(*[F.col(c).alias(n) for n, c in cols.items()])
-    carry = _carry(
-        rows, keys,
+    found = F.coalesce("__local", "__carry")
+    return _with_carry(
+        _cut(df, keys, ts, seconds, crowd), keys,
+        local=shift(taken).over(_inside(keys, ts, *tie)),
         summary=edge(taken, F.struct(*[F.col(c) for c in [ts, *tie]])),
-        total=edge("__part", _PIECE),
         over=lambda c, w: shift(c).over(w),
-        join=lambda near, far: F.coalesce(near, far),
-    )
-    inside = Window.partitionBy(*keys, _STRETCH, _PIECE).orderBy(ts, *tie)
-    found = F.coalesce("__local", "__carry")
-    return (
-        rows.withColumn("__local", shift(taken).over(inside))
-        .join(carry, [*keys, _STRETCH, _PIECE], "left")
-        .select(*df.columns, *[found[n].alias(n) for n in cols])
-    )
+    ).select(*df.columns, *[found[n].alias(n) for n in cols])
 
 
 def running_sum(
@@ -102,17 +94,12 @@ def running_sum(
     seconds: int = DAY, crowd: int = CROWD,
 ) -> DataFrame:
     """Sum of ``value`` up to and including each row; (keys, ts) must be unique."""
-    rows = _cut(df, keys, ts, seconds, crowd)
-    carry = _carry(
-        rows, keys, summary=F.sum(value), total=F.sum("__part"),
+    return _with_carry(
+        _cut(df, keys, ts, seconds, crowd), keys,
+        local=F.sum(value).over(_up_to_here(keys, ts)),
+        summary=F.sum(value),
         over=lambda c, w: F.coalesce(F.sum(c).over(_before(w)), F.lit(0)),
-        join=lambda near, far: near + far,
-    )
-    return (
-        rows.withColumn("__local", F.sum(value).over(_up_to_here(keys, ts)))
-        .join(carry, [*keys, _STRETCH, _PIECE], "left")
-        .select(*df.columns, (F.col("__local") + F.col("__carry")).alias(out))
-    )
+    ).select(*df.columns, (F.col("__local") + F.col("__carry")).alias(out))
 
 
 def last_known(
@@ -120,17 +107,9 @@ def last_known(
     seconds: int = DAY, crowd: int = CROWD,
 ) -> DataFrame:
     """The last non-null ``value`` up to and including each row; (keys, ts) must be unique."""
-    rows = _cut(df, keys, ts, seconds, crowd)
-    carry = _carry(
-        rows, keys,
+    return _with_carry(
+        _cut(df, keys, ts, seconds, crowd), keys,
+        local=F.last(value, ignorenulls=True).over(_up_to_here(keys, ts)),
         summary=F.max_by(value, F.when(F.col(value).isNotNull(), F.col(ts))),
-        total=F.max_by("__part", F.when(F.col("__part").isNotNull(), F.col(_PIECE))),
         over=lambda c, w: F.last(c, ignorenulls=True).over(_before(w)),
-        join=lambda near, far: F.coalesce(near, far),
-    )
-    local = F.last(value, ignorenulls=True).over(_up_to_here(keys, ts))
-    return (
-        rows.withColumn("__local", local)
-        .join(carry, [*keys, _STRETCH, _PIECE], "left")
-        .select(*df.columns, F.coalesce("__local", "__carry").alias(out))
-    )
+    ).select(*df.columns, F.coalesce("__local", "__carry").alias(out))

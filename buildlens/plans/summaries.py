@@ -310,10 +310,10 @@ def failed_runs(t: Inputs):
         "branch": refs.normalize_ref(F.col("ref")),
         "trigger": refs.resolve_trigger(F.col("trigger_author"), F.col("author")),
     }).select("run_id", "product", "branch", "trigger_event", "author", "trigger")
-    attempts = t.view("ci_attempts").withColumn(
-        "result", results.unstable_to_failure(F.col("result")))
-    decided = windows.final_attempt(attempts, ["run_id", "task_no"], 3).select(
-        "run_id", "task_type", "result")
+    attempts = t.view("ci_attempts").select(
+        "run_id", "task_no", "task_type", "attempt",
+        results.unstable_to_failure(F.col("result")).alias("result"))
+    decided = windows.final_attempt(attempts, ["run_id", "task_no"], 3)
     known = filters.known_task_types(
         decided.join(runs.select("run_id", "trigger_event"), "run_id"), F.col("trigger_event"))
     told = aggregates.notify_receivers(

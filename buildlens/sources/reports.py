@@ -72,7 +72,7 @@ def parse_version_info(df: DataFrame, col: str) -> DataFrame:
 
 def read_version_info(spark: SparkSession, path: str) -> DataFrame:
     """One row per file, each holding what one binary printed."""
-    text = spark.read.option("wholetext", True).text(path) \
+    text = spark.read.text(path, wholetext=True) \
         .select(F.col("_metadata.file_name").alias("binary"), "value")
     return parse_version_info(text, "value").drop("value")
 
