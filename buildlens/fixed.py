@@ -114,3 +114,90 @@ HOST_RULES = [
 
 # Parameters a build job requires.
 REQUIRED_BUILD_FIELDS = ["REPO", "PRODUCT", "ARCH", "OS", "GIT_HASH", "EDITION"]
+
+# Refs.
+HEADS_PREFIX = "refs/heads/"
+RELEASE_PREFIX = "release-"
+NEWEST_BRANCH = "master"
+# Fixed values: (repository, ref asked for, ref that exists).
+HEAD_REF_EXCEPTION = ("ng-monitoring", "master", "main")
+
+# Repositories outside the main organisation.
+REPOS_OF_OWN_ORG = ["tikv", "importer", "pd"]
+OWN_ORG = "tikv"
+INNER_ORG_REPOS = ["tiem"]
+
+# Compiler lines, and the versions at which they change.
+OLD_TOOLCHAIN = "1.13"
+MIDDLE_TOOLCHAIN = "1.16"
+NEW_TOOLCHAIN = "1.18"
+MIDDLE_TOOLCHAIN_TAG = "v5.1"
+NEW_TOOLCHAIN_TAG = "v6.0"
+MIDDLE_TOOLCHAIN_BRANCH = "release-5.1"
+NEW_TOOLCHAIN_BRANCH = "release-6.0"
+MIDDLE_TOOLCHAIN_BRANCH_PREFIXES = ["hz-poc", "arm-dup"]
+MIDDLE_TOOLCHAIN_REPOS = ["tiem"]
+
+# Images of hotfix builds.
+HOTFIX_GO_REPOS = ["tidb", "pd", "tiflow"]
+HOTFIX_NEW_IMAGE_FROM = "v5.2.0"
+HOTFIX_OLD_IMAGE = "imagego1.13.7"
+HOTFIX_NEW_IMAGE = "imagego1.16.0"
+
+# Web interface and its packages.
+WEB_UI_FROM_BRANCH = "release-6.0"
+WEB_UI_FROM_TAG = "v6.0.0"
+NODE_PACKAGES = [
+    ("linux", "arm64", "node-v16.14.0-linux-arm64"),
+    ("darwin", "arm64", "node-v16.14.0-darwin-arm64"),
+    ("darwin", "amd64", "node-v16.14.0-darwin-x64"),
+]
+NODE_PACKAGE_DEFAULT = "node-v16.14.0-linux-x64"
+
+# Other names of products.
+IMAGE_NAMES = {"tics": "tiflash", "monitoring": "tidb-monitor-initializer"}
+IMAGE_ALIAS = ("tics", "tiflash")
+PACKED_WITH = ("tidb-lightning", "br")
+HOTFIX_BUILD_NAME = ("tiflash", "tics")
+TAGGED_BY_BRANCH = "monitoring"
+
+# Products packed with their sources.
+UNTAGGED_WITH_SOURCE = ["pd", "tidb", "tidb-test"]
+ALWAYS_WITH_SOURCE = ["tiem"]
+HOTFIX_WITH_SOURCE = ["tidb", "tikv", "pd"]
+
+# Binaries that come and go with versions.
+DROPPED_BINARY = ("tidb-lightning", "/tikv-importer", "5.2.0")
+BINARIES_FROM = ("dm", "v5.3.0")
+
+# Products of a matrix that depend on the version.
+PRERELEASE_NEWER = ("ng-monitoring", "v5.3.0")
+PRERELEASE_ARM_BRANCH = "release-5.1"
+NIGHTLY_NEWER_BRANCH = "release-5.3"
+NIGHTLY_MASTER_PRODUCT = "monitoring"
+NIGHTLY_SINGLE_ARCH = "tics"
+NIGHTLY_WITHOUT_DEBUG = "ng-monitoring"
+
+# Results of builds as commit states.
+COMMIT_STATES = [
+    ("ABORTED", "error", "Jenkins job aborted"),
+    ("FAILURE", "failure", "Jenkins job failed"),
+    ("SUCCESS", "success", "Jenkins job success"),
+]
+COMMIT_STATE_DEFAULT = ("error", "Jenkins job meets something wrong")
+
+# How a build ends by exception and message.
+KILLED_MESSAGE = "script returned exit code 143"
+DONE_MESSAGES = ["hasBeenCached", "hasBeenTested"]
+
+# Tasks whose detail page shows their tests.
+TEST_TASKS = ["ut-check", "gosec-check"]
+LEGACY_TEST_TASKS = ["atom-ut", "atom-gosec"]
+
+# Marks in tags.
+PRERELEASE_MARKS = ["nightly", "alpha"]
+HOTFIX_MARK = "-202"
+
+# Pre-release products with a debug image, and the second image of one product.
+PRERELEASE_DEBUG = ["dumpling", "ticdc", "tidb-binlog", "tidb", "tikv", "pd"]
+PRERELEASE_SECOND_IMAGE = ("br", "tidb-lightning")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from buildlens import fixed
 from buildlens.site import DEFAULT_SITE, Site
 
 
@@ -13,6 +14,10 @@ def _cat(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
+def _renamed(c: Column, pair: tuple[str, str]) -> Column:
+    return F.when(c == pair[0], pair[1]).otherwise(c)
+
+
 def _flag(on: Column | bool, text: str) -> Column:
     on = F.lit(on) if isinstance(on, bool) else on
     return F.when(on, text).otherwise("")
@@ -41,7 +46,7 @@ def artifact_path(
             "/centos7/", product, f"{patch}-linux-", arch, ".tar.gz",
         )
     if kind == "nightly":
-        packed = F.when(product == "tidb-lightning", "br").otherwise(product)
+        packed = _renamed(product, fixed.PACKED_WITH)
         return _cat(
             f"builds/{org}/qa-daily-image-build/", packed, "/", version, "/", commit,
             "/centos7/", packed, "-linux-", arch, _flag(failpoint, "-failpoint"), ".tar.gz",
@@ -110,11 +115,9 @@ def prerelease_image(
 ) -> Column:
     """Comma list of the images of a pre-release build."""
     failpoint = F.lit(failpoint) if isinstance(failpoint, bool) else failpoint
-    name = (
-        F.when(product == "tics", "tiflash")
-        .when(product == "monitoring", "tidb-monitor-initializer")
-        .otherwise(product)
-    )
+    name = product
+    for pair in fixed.IMAGE_NAMES.items():
+        name = F.when(product == pair[0], pair[1]).otherwise(name)
     name = _cat(name, F.when(arch == "arm64", "-arm64").otherwise(""))
     inner = _cat(f"{site.registry}/qa/", name, ":", tag, "-pre")
     return F.when(failpoint, _cat(inner, "-failpoint")).otherwise(
@@ -153,8 +156,8 @@ def package_mode(product: Column, tag: Column, need_source: Column) -> Column:
     untagged = F.length(F.coalesce(tag, F.lit(""))) < 1
     with_source = (
         F.coalesce(need_source, F.lit(False))
-        | (product.isin("pd", "tidb", "tidb-test") & untagged)
-        | (product == "tiem")
+        | (product.isin(*fixed.UNTAGGED_WITH_SOURCE) & untagged)
+        | product.isin(*fixed.ALWAYS_WITH_SOURCE)
     )
     return F.when(with_source, "with_source").otherwise("output_only")
 
@@ -164,14 +167,14 @@ def build_alias(product: Column, repo: Column, flow: str) -> Column:
     if flow == "nightly":
         return F.struct(
             repo.alias("repo"),
-            F.when(product == "tidb-lightning", "br").otherwise(product).alias("product"),
+            _renamed(product, fixed.PACKED_WITH).alias("product"),
             F.lit(False).alias("need_source"),
         )
     if flow == "hotfix":
-        renamed = product == "tiflash"
+        name, built_as = fixed.HOTFIX_BUILD_NAME
         return F.struct(
-            F.when(renamed, "tics").otherwise(repo).alias("repo"),
-            F.when(renamed, "tics").otherwise(product).alias("product"),
-            product.isin("tidb", "tikv", "pd").alias("need_source"),
+            F.when(product == name, built_as).otherwise(repo).alias("repo"),
+            F.when(product == name, built_as).otherwise(product).alias("product"),
+            product.isin(*fixed.HOTFIX_WITH_SOURCE).alias("need_source"),
         )
     raise ValueError(f"unknown flow {flow!r}")

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from buildlens import fixed
 from buildlens.site import DEFAULT_SITE, Site
 
-HEADS = "refs/heads/"
-
 
 def split_repo(c: Column, unmatched: str = "blank") -> Column:
     """``owner/repo`` to struct(owner, repo); empty parts at the end do not count.
@@ -30,7 +28,9 @@ def split_repo(c: Column, unmatched: str = "blank") -> Column:
 
 
 def normalize_ref(c: Column) -> Column:
-    return F.when(c.startswith(HEADS), F.replace(c, F.lit(HEADS), F.lit(""))).otherwise(c)
+    return F.when(
+        c.startswith(fixed.HEADS_PREFIX), F.replace(c, F.lit(fixed.HEADS_PREFIX), F.lit(""))
+    ).otherwise(c)
 
 
 def resolve_trigger(trigger_author: Column, author: Column, legacy: bool = False) -> Column:
@@ -40,9 +40,9 @@ def resolve_trigger(trigger_author: Column, author: Column, legacy: bool = False
 
 
 def release_tag_for_branch(c: Column) -> Column:
-    version = F.regexp_extract(c, "^release-([^-]*)", 1)
+    version = F.regexp_extract(c, f"^{fixed.RELEASE_PREFIX}([^-]*)", 1)
     return F.when(
-        c.startswith("release-"), F.concat(F.lit("v"), version, F.lit(".0-nightly"))
+        c.startswith(fixed.RELEASE_PREFIX), F.concat(F.lit("v"), version, F.lit(".0-nightly"))
     ).otherwise(F.lit(fixed.MASTER_RELEASE_TAG))
 
 
@@ -56,8 +56,8 @@ def image_tag(c: Column, kind: str) -> Column:
 
 def git_remote(repo: Column, site: Site = DEFAULT_SITE) -> Column:
     org = (
-        F.when(repo.isin("tikv", "importer", "pd"), F.lit("tikv"))
-        .when(repo == "tiem", F.lit(site.inner_org))
+        F.when(repo.isin(*fixed.REPOS_OF_OWN_ORG), F.lit(fixed.OWN_ORG))
+        .when(repo.isin(*fixed.INNER_ORG_REPOS), F.lit(site.inner_org))
         .otherwise(F.lit(site.org))
     )
     return F.concat(F.lit(f"{site.git_host}:"), org, F.lit("/"), repo, F.lit(".git"))

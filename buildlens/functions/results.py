@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from buildlens import fixed
 from buildlens.site import DEFAULT_SITE, Site
 
 
@@ -18,7 +19,7 @@ def detail_url(
     site: Site = DEFAULT_SITE,
 ) -> Column:
     """Page of a build: its tests where a test task did not succeed, else its pipeline."""
-    test_tasks = ["atom-ut", "atom-gosec"] if legacy else ["ut-check", "gosec-check"]
+    test_tasks = fixed.LEGACY_TEST_TASKS if legacy else fixed.TEST_TASKS
     tests = ~succeeded(result) & F.coalesce(task.isin(*test_tasks), F.lit(False))
     return F.concat(
         stored_url(project, number, tab="", site=site),
@@ -53,18 +54,10 @@ def parse_detail_url(c: Column) -> Column:
 
 def commit_status(result: Column) -> Column:
     """struct(state, description) as posted for a commit."""
-    state = (
-        F.when(result == "ABORTED", "error")
-        .when(result == "FAILURE", "failure")
-        .when(result == "SUCCESS", "success")
-        .otherwise("error")
-    )
-    text = (
-        F.when(result == "ABORTED", "Jenkins job aborted")
-        .when(result == "FAILURE", "Jenkins job failed")
-        .when(result == "SUCCESS", "Jenkins job success")
-        .otherwise("Jenkins job meets something wrong")
-    )
+    state, text = map(F.lit, fixed.COMMIT_STATE_DEFAULT)
+    for value, its_state, its_text in fixed.COMMIT_STATES:
+        state = F.when(result == value, its_state).otherwise(state)
+        text = F.when(result == value, its_text).otherwise(text)
     return F.struct(state.alias("state"), text.alias("description"))
 
 
@@ -81,11 +74,11 @@ def classify_failure(exc_class: Column, message: Column, variant: str = "job") -
         F.when(name == "FlowInterruptedException", interrupted)
         .when(
             name == "AbortException",
-            F.when(message.contains("script returned exit code 143"), "ABORTED")
+            F.when(message.contains(fixed.KILLED_MESSAGE), "ABORTED")
             .otherwise("FAILURE"),
         )
         .when(name == "InterruptedException", "ABORTED")
-        .when(message.isin("hasBeenCached", "hasBeenTested"), "SUCCESS")
+        .when(message.isin(*fixed.DONE_MESSAGES), "SUCCESS")
         .otherwise("FAILURE")
     )
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from buildlens import fixed
+
 _WIDTH = 9
 _PARTS = 4
 
@@ -42,15 +44,17 @@ def version_gate(c: Column, op: str, bound: str, mode: str = "lexical") -> Colum
 def toolchain_tier(tag: Column, branch: Column, repo: Column) -> Column:
     """Compiler line of a build; the first rule that holds decides."""
     tag, branch, repo = _blank(tag), _blank(branch), _blank(repo)
-    tagged, released = tag.startswith("v"), branch.startswith("release-")
+    tagged, released = tag.startswith("v"), branch.startswith(fixed.RELEASE_PREFIX)
+    special = repo.isin(*fixed.MIDDLE_TOOLCHAIN_REPOS)
+    for prefix in fixed.MIDDLE_TOOLCHAIN_BRANCH_PREFIXES:
+        special = special | branch.startswith(prefix)
     return (
-        F.when(tagged & (tag <= "v5.1"), "1.13")
-        .when(tagged & (tag > "v5.1") & (tag < "v6.0"), "1.16")
-        .when(released & (branch < "release-5.1"), "1.13")
-        .when(released & (branch >= "release-5.1") & (branch < "release-6.0"), "1.16")
-        .when(branch.startswith("hz-poc") | branch.startswith("arm-dup"), "1.16")
-        .when(repo == "tiem", "1.16")
-        .otherwise("1.18")
+        F.when(tagged & (tag <= fixed.MIDDLE_TOOLCHAIN_TAG), fixed.OLD_TOOLCHAIN)
+        .when(tagged & (tag < fixed.NEW_TOOLCHAIN_TAG), fixed.MIDDLE_TOOLCHAIN)
+        .when(released & (branch < fixed.MIDDLE_TOOLCHAIN_BRANCH), fixed.OLD_TOOLCHAIN)
+        .when(released & (branch < fixed.NEW_TOOLCHAIN_BRANCH), fixed.MIDDLE_TOOLCHAIN)
+        .when(special, fixed.MIDDLE_TOOLCHAIN)
+        .otherwise(fixed.NEW_TOOLCHAIN)
     )
 
 
@@ -62,10 +66,10 @@ def hotfix_toolchain(repo: Column, tag: Column, strict_reference: bool = True) -
     ``strict_reference=False`` the whole tag is compared.
     """
     version = F.substr(tag, F.lit(2)) if strict_reference else tag
+    newer = F.coalesce(version >= fixed.HOTFIX_NEW_IMAGE_FROM, F.lit(False))
     return F.when(
-        repo.isin("tidb", "pd", "tiflow") & ~F.coalesce(version >= "v5.2.0", F.lit(False)),
-        "imagego1.13.7",
-    ).otherwise("imagego1.16.0")
+        repo.isin(*fixed.HOTFIX_GO_REPOS) & ~newer, fixed.HOTFIX_OLD_IMAGE
+    ).otherwise(fixed.HOTFIX_NEW_IMAGE)
 
 
 def valid_commit(c: Column) -> Column:
@@ -74,24 +78,25 @@ def valid_commit(c: Column) -> Column:
 
 
 def valid_hotfix_tag(c: Column) -> Column:
-    return F.coalesce(c.startswith("v") & c.contains("-202"), F.lit(False))
+    return F.coalesce(c.startswith("v") & c.contains(fixed.HOTFIX_MARK), F.lit(False))
 
 
 def is_prerelease(c: Column) -> Column:
-    return F.coalesce(c.contains("nightly") | c.contains("alpha"), F.lit(False))
+    marked = F.lit(False)
+    for mark in fixed.PRERELEASE_MARKS:
+        marked = marked | c.contains(mark)
+    return F.coalesce(marked, F.lit(False))
 
 
 def dm_web_ui(tag: Column) -> Column:
-    old = (tag.startswith("release-") & (tag < "release-6.0")) | (
-        tag.startswith("v") & (tag < "v6.0.0")
+    old = (tag.startswith(fixed.RELEASE_PREFIX) & (tag < fixed.WEB_UI_FROM_BRANCH)) | (
+        tag.startswith("v") & (tag < fixed.WEB_UI_FROM_TAG)
     )
     return ~F.coalesce(old, F.lit(False))
 
 
 def node_package(os: Column, arch: Column) -> Column:
-    return (
-        F.when((os == "linux") & (arch == "arm64"), "node-v16.14.0-linux-arm64")
-        .when((os == "darwin") & (arch == "arm64"), "node-v16.14.0-darwin-arm64")
-        .when((os == "darwin") & (arch == "amd64"), "node-v16.14.0-darwin-x64")
-        .otherwise("node-v16.14.0-linux-x64")
-    )
+    out = F.lit(fixed.NODE_PACKAGE_DEFAULT)
+    for for_os, for_arch, package in fixed.NODE_PACKAGES:
+        out = F.when((os == for_os) & (arch == for_arch), package).otherwise(out)
+    return out

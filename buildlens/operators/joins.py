@@ -59,7 +59,8 @@ def existing_builds(
 
 def head_ref(repo: Column, ref: Column) -> Column:
     """The ref to ask for; one repository calls its master branch main."""
-    return F.when((repo == "ng-monitoring") & (ref == "master"), "main").otherwise(ref)
+    name, asked, real = fixed.HEAD_REF_EXCEPTION
+    return F.when((repo == name) & (ref == asked), real).otherwise(ref)
 
 
 def resolve_commit(
@@ -105,18 +106,19 @@ def effective_repo(product: Column, ref: Column, flow: str) -> Column:
     moves = {
         "nightly": fixed.NIGHTLY_REPO_MOVES,
         "pre_release": fixed.REPO_MOVES,
-        "single_image": [m for m in fixed.REPO_MOVES if m[0] == "br"],
+        "single_image": fixed.REPO_MOVES[:1],
     }[flow]
     out = product
     if flow == "nightly":
-        out = F.when(product == "tidb-lightning", "br").otherwise(out)
+        part, whole = fixed.PACKED_WITH
+        out = F.when(product == part, whole).otherwise(out)
     for name, first_branch, first_tag, repo in moves:
         moved = product == name
         if flow == "pre_release" and first_tag:
             moved = moved & (ref >= first_tag)
         elif first_branch:
-            released = ref.startswith("release-") & (ref >= first_branch)
-            moved = moved & (released | (ref == "master"))
+            released = ref.startswith(fixed.RELEASE_PREFIX) & (ref >= first_branch)
+            moved = moved & (released | (ref == fixed.NEWEST_BRANCH))
         out = F.when(F.coalesce(moved, F.lit(False)), repo).otherwise(out)
     return out
 
@@ -128,10 +130,13 @@ def expected_binaries(images: DataFrame, product: str = "product", tag: str = "t
     for name, binaries in fixed.PRODUCT_BINARIES.items():
         listed = F.when(p == name, F.array(*map(F.lit, binaries))).otherwise(listed)
     bare = F.replace(t, F.lit("v"), F.lit(""))
-    listed = F.when(
-        (p == "tidb-lightning") & (bare >= "5.2.0"),
-        F.array_remove(listed, "/tikv-importer"),
-    ).when((p == "dm") & (t < "v5.3.0"), F.lit(None)).otherwise(listed)
+    shrunk, dropped, dropped_from = fixed.DROPPED_BINARY
+    later, listed_from = fixed.BINARIES_FROM
+    listed = (
+        F.when((p == shrunk) & (bare >= dropped_from), F.array_remove(listed, dropped))
+        .when((p == later) & (t < listed_from), F.lit(None))
+        .otherwise(listed)
+    )
     return images.withColumn("binary", F.explode(listed))
 
 
@@ -255,6 +260,6 @@ def apply_overrides(requests: DataFrame, overrides: DataFrame) -> DataFrame:
     return requests.join(given, "product", "left").withColumns({
         "commit": F.coalesce("__commit", "commit"),
         "pull_request": F.col("__pr"),
-        "tag": F.when(F.col("product") == "monitoring", F.col("branch")).otherwise(F.col("tag")),
+        "tag": F.when(F.col("product") == fixed.TAGGED_BY_BRANCH, F.col("branch")).otherwise(F.col("tag")),
     }).drop("__commit", "__pr")
 

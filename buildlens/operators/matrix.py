@@ -30,15 +30,16 @@ def _only(condition: Column, entries: Column, kind: str) -> Column:
 
 def prerelease_matrix(df: DataFrame, branch: str = "branch", tag: str = "tag") -> DataFrame:
     b, t = F.col(branch), F.col(tag)
+    newer, newer_from = fixed.PRERELEASE_NEWER
     arm = F.concat(
         _builds(fixed.PRERELEASE_PRODUCTS, "arm64", False),
         _builds(fixed.PRERELEASE_FAILPOINT, "arm64", True),
     )
     entries = F.concat(
         _builds(fixed.PRERELEASE_PRODUCTS, "amd64", False),
-        _only(t >= "v5.3.0", _builds(["ng-monitoring"], "amd64", False), _BUILD),
+        _only(t >= newer_from, _builds([newer], "amd64", False), _BUILD),
         _builds(fixed.PRERELEASE_FAILPOINT, "amd64", True),
-        _only(b == "release-5.1", arm, _BUILD),
+        _only(b == fixed.PRERELEASE_ARM_BRANCH, arm, _BUILD),
     )
     return df.withColumn("entry", F.explode(entries)).select(*df.columns, "entry.*")
 
@@ -46,7 +47,7 @@ def prerelease_matrix(df: DataFrame, branch: str = "branch", tag: str = "tag") -
 def _stages(products: list[str], suffix: str, kind: str, debug: bool) -> Column:
     return F.array(*[
         F.struct(F.lit(f"{p}{suffix}").alias("stage"), F.lit(p).alias("product"),
-                 F.lit(kind).alias("kind"), F.lit(debug and p != "ng-monitoring").alias("debug"))
+                 F.lit(kind).alias("kind"), F.lit(debug and p != fixed.NIGHTLY_WITHOUT_DEBUG).alias("debug"))
         for p in products
     ])
 
@@ -55,10 +56,11 @@ def nightly_matrix(df: DataFrame, branch: str = "branch", multiarch: bool = True
     """``multiarch`` names the stages; the text comparison of branches is kept as it is."""
     b = F.col(branch)
     suffix = "-multi-arch" if multiarch else ""
-    newer = (b >= "release-5.3") | (b == "master")
+    master = b == fixed.NEWEST_BRANCH
+    newer = (b >= fixed.NIGHTLY_NEWER_BRANCH) | master
     entries = F.concat(
-        _only(b == "master", _stages(["monitoring"], "", "monitoring", False), _STAGE),
-        _stages(["tics"], "-build", "normal", False),
+        _only(master, _stages([fixed.NIGHTLY_MASTER_PRODUCT], "", "monitoring", False), _STAGE),
+        _stages([fixed.NIGHTLY_SINGLE_ARCH], "-build", "normal", False),
         _stages(fixed.NIGHTLY_PRODUCTS, suffix, "normal", True),
         _only(newer, _stages(fixed.NIGHTLY_NEWER_PRODUCTS, suffix, "normal", True), _STAGE),
         _stages(fixed.NIGHTLY_FAILPOINT, "-failpoint", "failpoint", False),

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from buildlens import fixed
+
 
 def union_images(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
-def with_alias_images(df: DataFrame, product: str = "product", alias: tuple[str, str] = ("tics", "tiflash")) -> DataFrame:
+def with_alias_images(
+    df: DataFrame, product: str = "product", alias: tuple[str, str] = fixed.IMAGE_ALIAS
+) -> DataFrame:
     """Each image, and for one product the same image under its other name."""
     name, other = alias
     both = F.when(F.col(product) == name, F.array(F.lit(name), F.lit(other))) \

@@ -7,7 +7,9 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from buildlens.plans import files, lookups, rows, scalars, streams, summaries  # noqa: F401  (register queries)
+from buildlens.plans import (  # noqa: F401  (register queries)
+    files, lookups, nightly, rows, scalars, streams, summaries,
+)
 from buildlens.plans.registry import QUERIES, Inputs
 from buildlens.session import apply_settings
 

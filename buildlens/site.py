@@ -17,6 +17,7 @@ class Site:
     file_server: str = "http://files.acme.example"
     ci_base: str = "https://ci.acme.example"
     config_base: str = "https://raw.acme.example/devops-config"
+    dockerfile_base: str = "https://raw.acme.example/ci/main/Dockerfile/release"
     registry: str = "hub.acme.example"
     new_registry: str = "hub-new.acme.example"
     mirror_registry: str = "mirror.acme.example"

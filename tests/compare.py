@@ -25,7 +25,7 @@ def duck(folder: str) -> duckdb.DuckDBPyConnection:
 
 def _cell(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 6)
+        return "nan" if math.isnan(v) else v
     if isinstance(v, datetime.datetime):
         return v.replace(tzinfo=None).isoformat()
     if isinstance(v, (list, tuple)):
