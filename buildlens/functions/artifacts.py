@@ -90,17 +90,18 @@ _LAYOUTS = [
 def parse_artifact_path(c: Column) -> Column:
     """The inverse of :func:`artifact_path`; a path of no layout gives null fields."""
 
+    layout = F.lit(None).cast("string")
+    for name, pattern, _ in reversed(_LAYOUTS):
+        layout = F.when(c.rlike(pattern), name).otherwise(layout)
+
     def field(name: str) -> Column:
         out = F.lit(None).cast("string")
-        for _, pattern, groups in reversed(_LAYOUTS):
+        for kind, pattern, groups in _LAYOUTS:
             if name in groups:
-                out = F.when(c.rlike(pattern), F.regexp_extract(c, pattern, groups[name])) \
-                    .otherwise(out)
+                part = F.regexp_extract(c, pattern, groups[name])
+                out = F.when(layout == kind, part).otherwise(out)
         return F.nullif(out, F.lit(""))
 
-    layout = F.lit(None).cast("string")
-    for name, pattern, _ in reversed(_LAYOUTS):
-        layout = F.when(c.rlike(pattern), name).otherwise(layout)
     return F.struct(
         layout.alias("layout"),
         *[field(n).alias(n) for n in ("product", "version", "commit", "os", "arch")],
@@ -151,6 +152,11 @@ def hotfix_image(
     )
 
 
+def scanned_images(site: Site = DEFAULT_SITE) -> list[str]:
+    """The images that are scanned for vulnerabilities."""
+    return [f"{site.registry}/qa/{p}:{fixed.NEWEST_BRANCH}" for p in fixed.SCANNED_PRODUCTS]
+
+
 def package_mode(product: Column, tag: Column, need_source: Column) -> Column:
     """Whether the sources are packed with the output."""
     untagged = F.length(F.coalesce(tag, F.lit(""))) < 1

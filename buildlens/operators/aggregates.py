@@ -103,9 +103,15 @@ def finding_summary(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def vulnerability_summary(
-    df: DataFrame, keys: list[str], levels: list[str] = ["CRITICAL", "HIGH", "MEDIUM", "LOW"]
+    df: DataFrame, keys: list[str], levels: list[str] = ["CRITICAL", "HIGH", "MEDIUM", "LOW"],
+    images: list[str] | None = None,
 ) -> DataFrame:
-    """One column per severity; the levels are given, so no extra pass finds them."""
+    """One column per severity; the levels are given, so no extra pass finds them.
+
+    ``images`` restricts the report to these images.
+    """
+    if images is not None:
+        df = df.filter(F.col("image").isin(*images))
     return df.groupBy(*keys).agg(
         *[F.count_if(_is("severity", level)).alias(level.lower()) for level in levels],
         F.count("*").alias("total"),

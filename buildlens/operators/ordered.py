@@ -20,14 +20,22 @@ CROWD = 1_000_000
 _STRETCH, _PIECE = "__stretch", "__piece"
 
 
-def _cut(df: DataFrame, keys: list[str], ts: str, seconds: int, crowd: int) -> DataFrame:
-    """Name the stretch and the piece of each row; both grow with time."""
+def _cut(
+    df: DataFrame, keys: list[str], ts: str, seconds: int, crowd: int,
+    counted: DataFrame | None = None,
+) -> DataFrame:
+    """Name the stretch and the piece of each row; both grow with time.
+
+    ``counted`` may stand in for ``df`` when crowds are counted.
+    """
     length = seconds * 1_000_000
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = df.withColumn(_STRETCH, F.floor(micros / F.lit(length)))
+    stretch = F.floor(micros / F.lit(length))
+    rows = df.withColumn(_STRETCH, stretch)
     width = F.greatest(F.floor(F.lit(float(length) * crowd) / F.col("__n")), F.lit(1))
     crowded = (
-        rows.groupBy(*keys, _STRETCH).agg(F.count("*").alias("__n"))
+        (df if counted is None else counted).withColumn(_STRETCH, stretch)
+        .groupBy(*keys, _STRETCH).agg(F.count("*").alias("__n"))
         .filter(F.col("__n") > crowd).select(*keys, _STRETCH, width.alias("__width"))
     )
     # At most one row per ``crowd`` rows of the input, hence small enough to broadcast.
@@ -39,15 +47,17 @@ def _cut(df: DataFrame, keys: list[str], ts: str, seconds: int, crowd: int) -> D
 
 def _with_carry(
     rows: DataFrame, keys: list[str], local: Column, summary: Column,
-    over: Callable[[str, WindowSpec], Column],
+    over: Callable[[str, WindowSpec], Column], summed: DataFrame | None = None,
 ) -> DataFrame:
     """``rows`` with ``local``, and what the pieces on one side amount to as ``__carry``.
 
-    ``summary`` reduces a piece; ``over`` reads the summaries on the wanted side.
+    ``summary`` reduces a piece of ``rows``, or of ``summed`` where that says the
+    same; ``over`` reads the summaries on the wanted side.
     """
     across = Window.partitionBy(*keys).orderBy(_STRETCH, _PIECE)
     carry = (
-        rows.groupBy(*keys, _STRETCH, _PIECE).agg(summary.alias("__part"))
+        (rows if summed is None else summed)
+        .groupBy(*keys, _STRETCH, _PIECE).agg(summary.alias("__part"))
         .withColumn("__carry", over("__part", across)).drop("__part")
     )
     return rows.withColumn("__local", local).join(carry, [*keys, _STRETCH, _PIECE], "left")
@@ -91,15 +101,25 @@ def neighbour(
 
 def running_sum(
     df: DataFrame, keys: list[str], ts: str, value: str, out: str,
-    seconds: int = DAY, crowd: int = CROWD,
+    also: dict[str, Column] | None = None, seconds: int = DAY, crowd: int = CROWD,
 ) -> DataFrame:
-    """Sum of ``value`` up to and including each row; (keys, ts) must be unique."""
+    """One row per (keys, ts): the sum of ``value`` there, and up to there as ``out``.
+
+    ``also`` names further aggregates of an instant. Rows of one instant add up before
+    the shuffle; crowds and carries are taken from the rows as they come.
+    """
+    also = also or {}
+    raw = df.select(*keys, ts, value)
+    instants = df.groupBy(*keys, ts).agg(
+        F.sum(value).alias(value), *[c.alias(n) for n, c in also.items()]
+    )
     return _with_carry(
-        _cut(df, keys, ts, seconds, crowd), keys,
+        _cut(instants, keys, ts, seconds, crowd, counted=raw), keys,
         local=F.sum(value).over(_up_to_here(keys, ts)),
         summary=F.sum(value),
         over=lambda c, w: F.coalesce(F.sum(c).over(_before(w)), F.lit(0)),
-    ).select(*df.columns, (F.col("__local") + F.col("__carry")).alias(out))
+        summed=_cut(raw, keys, ts, seconds, crowd),
+    ).select(*keys, ts, value, *also, (F.col("__local") + F.col("__carry")).alias(out))
 
 
 def last_known(

@@ -74,20 +74,21 @@ def parallel_load(
 ) -> DataFrame:
     """Tasks running at each start: started at or before it and not ended by then.
 
-    Starts and ends first add up per instant, so only one row per instant is ordered.
+    A start counts one up and an end one down; the running sum of both is the load.
     """
-    events = df.select(
+    at, change = F.col("instant"), F.col("change")
+    points = df.select(
         *keys,
         F.explode(F.array(
-            F.struct(F.col(start).alias("instant"), F.lit(1).alias("change"), F.lit(1).alias("starts")),
-            F.struct(F.col(end).alias("instant"), F.lit(-1).alias("change"), F.lit(0).alias("starts")),
-        )).alias("e"),
-    ).select(*keys, "e.*")
-    instants = events.groupBy(*keys, "instant").agg(
-        F.sum("change").alias("change"), F.sum("starts").alias("starts")
+            F.struct(F.col(start).alias("instant"), F.lit(1).alias("change")),
+            F.struct(F.col(end).alias("instant"), F.lit(-1).alias("change")),
+        )).alias("p"),
+    ).select(*keys, "p.*")
+    load = ordered.running_sum(
+        points, keys, "instant", "change", "running", {"starts": F.count_if(change > 0)},
+        seconds, crowd,
     )
-    load = ordered.running_sum(instants, keys, "instant", "change", "running", seconds, crowd)
-    return load.filter(F.col("starts") > 0).select(*keys, "instant", "starts", "running")
+    return load.filter(F.col("starts") > 0).select(*keys, at, "starts", "running")
 
 
 def first_plan(

@@ -132,12 +132,12 @@ def multiarch_manifest(t: Inputs):
 
 @query("j10_images_to_sync", """
 SELECT artifact_id, product, tag FROM artifacts s
-WHERE NOT EXISTS (SELECT 1 FROM artifacts x WHERE x.artifact_id % 3 = 0 AND x.product = s.product AND x.tag = s.tag AND x.arch = s.arch)
+WHERE NOT EXISTS (SELECT 1 FROM artifacts x WHERE x.arch = 'amd64' AND x.product = s.product AND x.tag = s.tag AND x.sha = s.sha)
 """)
 def images_to_sync(t: Inputs):
     images = t.view("artifacts")
-    there = images.filter(F.col("artifact_id") % 3 == 0)
-    return joins.images_to_sync(images, there, ["product", "tag", "arch"]).select(
+    there = images.filter(F.col("arch") == "amd64")
+    return joins.images_to_sync(images, there, ["product", "tag", "sha"]).select(
         "artifact_id", "product", "tag")
 
 

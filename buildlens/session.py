@@ -30,7 +30,6 @@ def local_session(cores: int | str = "*", app: str = "buildlens", **conf: str) -
         "spark.sql.shuffle.partitions": str(n),
         "spark.ui.enabled": "false",
         "spark.driver.memory": "8g",
-        "spark.sql.codegen.cache.maxEntries": "1000",
         **conf,
     }
     for key, value in settings.items():

@@ -9,13 +9,14 @@ from buildlens import schemas
 
 
 def read_junit(spark: SparkSession, path: str, allow_empty: bool = True) -> DataFrame:
-    """One row per test case with its outcome.
+    """One row per test case with its outcome; ``report`` names the file.
 
     Lint and security reports may be empty; for others pass ``allow_empty=False``.
     """
     cases = (
         spark.read.format("xml").option("rowTag", "testcase").schema(schemas.JUNIT_CASE).load(path)
         .select(
+            F.col("_metadata.file_name").alias("report"),
             F.col("_classname").alias("suite"),
             F.col("_name").alias("name"),
             F.col("_time").alias("time_s"),

@@ -188,6 +188,13 @@ def test_hotfix_is_one_nested_map(rows):
         "tidb": {"amd64": "u1", "arm64": "u2", "image": "i2", "tiup-patch-amd64": "p2"}}
 
 
+def test_only_scanned_images_are_reported(rows):
+    images = artifacts.scanned_images()
+    df = rows([(images[0], "HIGH"), (images[0], "LOW"), ("other", "HIGH")], "image string, severity string")
+    got = aggregates.vulnerability_summary(df, ["image"], images=images).collect()
+    assert [(r.image, r.high, r.low, r.total) for r in got] == [(images[0], 1, 1, 2)]
+
+
 def test_missing_fields(rows):
     df = rows([("r", "p", "amd64", "linux", "", None, "", None)],
               "REPO string, PRODUCT string, ARCH string, OS string, GIT_HASH string, "
