@@ -84,15 +84,14 @@ def resolve_commit_asof(
 ) -> DataFrame:
     """The head at request time: the last commit with a time at or before it.
 
-    Both sides first shrink to one row per (key, instant), so equal instants never
-    pile up; the answers are then joined back to the requests on the instant.
+    Commits and requests form one line of instants, one row each, so equal instants
+    never pile up; the answers are then joined back to the requests on the instant.
     """
-    points = commits.groupBy(*keys, ts).agg(
-        F.max_by(sha, F.col(tie or sha)).alias("__sha")
+    points = commits.select(
+        *keys, ts, F.col(sha).alias("__sha"), F.col(tie or sha).alias("__tie")
     )
-    asked = requests.select(*keys, ts).distinct().withColumn("__sha", F.lit(None).cast("string"))
-    line = points.unionByName(asked).groupBy(*keys, ts).agg(F.max("__sha").alias("__sha"))
-    heads = ordered.last_known(line, keys, ts, "__sha", out, seconds, crowd).drop("__sha")
+    line = points.unionByName(requests.select(*keys, ts), allowMissingColumns=True)
+    heads = ordered.last_known(line, keys, ts, "__sha", "__tie", out, seconds, crowd)
     return requests.join(heads, [*keys, ts], "left")
 
 

@@ -75,30 +75,6 @@ def _up_to_here(keys: list[str], ts: str) -> WindowSpec:
     return _inside(keys, ts).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def neighbour(
-    df: DataFrame, keys: list[str], ts: str, tie: list[str], cols: dict[str, str],
-    direction: str, seconds: int = DAY, crowd: int = CROWD,
-) -> DataFrame:
-    """Columns of the row before (``previous``) or after (``next``) in (ts, tie) order.
-
-    ``cols`` maps new names to the columns they take. (keys, ts, tie) must be unique.
-    """
-    if direction == "previous":
-        shift, edge = F.lag, F.max_by
-    elif direction == "next":
-        shift, edge = F.lead, F.min_by
-    else:
-        raise ValueError(f"unknown direction {direction!r}")
-    taken = F.struct(*[F.col(c).alias(n) for n, c in cols.items()])
-    found = F.coalesce("__local", "__carry")
-    return _with_carry(
-        _cut(df, keys, ts, seconds, crowd), keys,
-        local=shift(taken).over(_inside(keys, ts, *tie)),
-        summary=edge(taken, F.struct(*[F.col(c) for c in [ts, *tie]])),
-        over=lambda c, w: shift(c).over(w),
-    ).select(*df.columns, *[found[n].alias(n) for n in cols])
-
-
 def running_sum(
     df: DataFrame, keys: list[str], ts: str, value: str, out: str,
     also: dict[str, Column] | None = None, seconds: int = DAY, crowd: int = CROWD,
@@ -123,13 +99,53 @@ def running_sum(
 
 
 def last_known(
-    df: DataFrame, keys: list[str], ts: str, value: str, out: str,
+    df: DataFrame, keys: list[str], ts: str, value: str, tie: str, out: str,
     seconds: int = DAY, crowd: int = CROWD,
 ) -> DataFrame:
-    """The last non-null ``value`` up to and including each row; (keys, ts) must be unique."""
+    """One row per (keys, ts): the last non-null ``value`` up to there as ``out``.
+
+    Among the values of one instant the one with the greatest ``tie`` counts. Rows of
+    one instant shrink to one before the shuffle; crowds and carries are taken from
+    the rows as they come.
+    """
+    def latest(order: Column) -> Column:
+        return F.max_by(value, F.when(F.col(value).isNotNull(), order))
+
+    raw = df.select(*keys, ts, value, tie)
+    instants = raw.groupBy(*keys, ts).agg(latest(F.col(tie)).alias(value))
     return _with_carry(
-        _cut(df, keys, ts, seconds, crowd), keys,
+        _cut(instants, keys, ts, seconds, crowd, counted=raw), keys,
         local=F.last(value, ignorenulls=True).over(_up_to_here(keys, ts)),
-        summary=F.max_by(value, F.when(F.col(value).isNotNull(), F.col(ts))),
+        summary=latest(F.struct(ts, tie)),
         over=lambda c, w: F.last(c, ignorenulls=True).over(_before(w)),
-    ).select(*df.columns, F.coalesce("__local", "__carry").alias(out))
+        summed=_cut(raw, keys, ts, seconds, crowd),
+    ).select(*keys, ts, F.coalesce("__local", "__carry").alias(out))
+
+
+def changes(
+    df: DataFrame, keys: list[str], ts: str, tie: list[str], value: str,
+    previous: str, until: str, seconds: int = DAY, crowd: int = CROWD,
+) -> DataFrame:
+    """Rows whose ``value`` differs from the row before, in (ts, tie) order.
+
+    ``previous`` is the value before, ``until`` the time of the next change. Both
+    steps share one cut, so the rows are shuffled once. (keys, ts, tie) must be unique.
+    """
+    place = F.struct(*[F.col(c) for c in [ts, *tie]])
+    boxed = F.struct(F.col(value).alias("v"))  # tells a null value from no row
+    seen = _with_carry(
+        _cut(df, keys, ts, seconds, crowd), keys,
+        local=F.lag(boxed).over(_inside(keys, ts, *tie)),
+        summary=F.max_by(boxed, place),
+        over=lambda c, w: F.lag(c).over(w),
+    )
+    before = F.coalesce("__local", "__carry")["v"]
+    changed = seen.withColumn(previous, before).drop("__local", "__carry").filter(
+        ~F.col(value).eqNullSafe(F.col(previous))
+    )
+    return _with_carry(
+        changed, keys,
+        local=F.lead(ts).over(_inside(keys, ts, *tie)),
+        summary=F.min(ts),
+        over=lambda c, w: F.lead(c).over(w),
+    ).select(*df.columns, previous, F.coalesce("__local", "__carry").alias(until))

@@ -58,14 +58,12 @@ def status_transitions(
     status: str = "status", seconds: int = ordered.DAY, crowd: int = ordered.CROWD,
 ) -> DataFrame:
     """State changes with the state before and the time until the next change."""
-    seen = ordered.neighbour(
-        df, ids, ts, tie, {"previous_status": status}, "previous", seconds, crowd
+    changes = ordered.changes(
+        df, ids, ts, tie, status, "previous_status", "__next", seconds, crowd
     )
-    changes = seen.filter(~F.col(status).eqNullSafe(F.col("previous_status")))
-    timed = ordered.neighbour(changes, ids, ts, tie, {"__next": ts}, "next", seconds, crowd)
     micros = F.unix_micros(F.col("__next").cast("timestamp")) - \
         F.unix_micros(F.col(ts).cast("timestamp"))
-    return timed.withColumn("in_state_us", micros).drop("__next")
+    return changes.withColumn("in_state_us", micros).drop("__next")
 
 
 def parallel_load(

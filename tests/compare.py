@@ -19,6 +19,7 @@ def duck(folder: str) -> duckdb.DuckDBPyConnection:
     for name in TABLES:
         path = Path(folder) / f"{name}.parquet"
         if path.exists():
+            path = path / "*.parquet" if path.is_dir() else path
             con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{path}')")
     return con
 
