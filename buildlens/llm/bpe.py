@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from buildlens.llm.common import per_task, record_batch, slices, table
-from buildlens.llm.tokens import WordEncoder
+from buildlens.llm.tokens import WordEncoder, byte_characters
 
 NORMAL, UNKNOWN, BPE = 1, 2, 2
 SCHEMA = pa.schema([
@@ -28,13 +28,6 @@ SCHEMA = pa.schema([
 ])
 
 
-def byte_characters() -> list[str]:
-    """A printable character for each byte: itself, or the next one from U+0100 on."""
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    spare = iter(range(0x100, 0x200))
-    return [chr(b if b in printable else next(spare)) for b in range(256)]
-
-
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}

@@ -11,11 +11,12 @@ from buildlens.llm.bpe import op10_byte_bpe
 from buildlens.llm.language import op2_compression_language
 from buildlens.llm.packing import op8_certified_packing
 from buildlens.llm.quality import OP7_SQL, op7_line_first_cleaning
+from buildlens.llm.simhash import op9_gray_simhash
 from buildlens.llm.toxicity import op1_sentence_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_sentence_toxicity, op2_compression_language, op6_simple8b, op7_line_first_cleaning,
-        op8_certified_packing, op10_byte_bpe)
+        op8_certified_packing, op9_gray_simhash, op10_byte_bpe)
 }
 ORACLE_SQL: dict[str, str] = {"op7_line_first_cleaning": OP7_SQL}

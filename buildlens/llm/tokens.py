@@ -14,6 +14,7 @@ import os
 import re
 from array import array
 from collections.abc import Callable
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +22,18 @@ import pyarrow.compute as pc
 
 from buildlens.llm.common import per_task
 
-REMEMBERED = 400_000
+REMEMBERED = 300_000
+_MARKS = [".", ",", ";", ":", "!", "?"]
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
+def byte_characters() -> list[str]:
+    """A printable character for each byte: itself, or the next one from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    spare = iter(range(0x100, 0x200))
+    return [chr(b if b in printable else next(spare)) for b in range(256)]
+
+
 class Remembered:
     """Two generations of a dictionary: what was not asked for lately is forgotten."""
 
@@ -32,10 +41,11 @@ class Remembered:
         self.limit, self.new, self.old = limit, {}, {}
 
     def missing(self, keys) -> list[str]:
+        """The keys that are not known, each once; the known ones are in ``new`` afterwards."""
         if len(self.new) > self.limit:
             self.old, self.new = self.new, {}
         new, old, out = self.new, self.old, []
-        for k in keys:
+        for k in dict.fromkeys(keys):
             if k not in new:
                 if k in old:
                     new[k] = old[k]
@@ -44,6 +54,10 @@ class Remembered:
         return out
 
 
+def _odd(word: str) -> bool:
+    return not word or word[0].isspace() or word[-1].isspace()
+
+
 class WordEncoder:
     """Encodes whole texts word by word.
 
@@ -54,63 +68,75 @@ class WordEncoder:
     def __init__(self, split: Callable[[str], list[str]],
                  encode: Callable[[list[str]], list[bytes]], limit: int = REMEMBERED):
         self.split, self.encode = split, encode
-        self.words, self.pieces = Remembered(limit // 2), Remembered(limit)
+        self.pieces, self.words = Remembered(limit), Remembered(limit // 8)
 
-    @staticmethod
-    def _odd(word: str) -> bool:
-        return not word or word[0].isspace() or word[-1].isspace()
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        missing = self.pieces.missing(pieces)
+        self.pieces.new.update(zip(missing, self.encode(missing)))
+        return list(map(self.pieces.new.__getitem__, pieces))
 
     def _strings(self, strings: list[str]) -> list[bytes]:
         cut = [self.split(s) for s in strings]
-        missing = self.pieces.missing(set().union(*cut))
-        known = self.pieces.new
-        known.update(zip(missing, self.encode(missing)))
-        get = known.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        ids = iter(self._pieces([p for c in cut for p in c]))
+        return [b"".join(islice(ids, len(c))) for c in cut]
 
-    def _text(self, text: str) -> bytes:
-        """A text in which white space stands beside a cut."""
-        head, *rest = _CUT.split(text)
-        return b"".join(self._strings([head, *(" " + r for r in rest)]))
+    def _words(self, words: list[str]) -> list[bytes | None]:
+        """Ids of other words with a space before them; None where white space is at an end."""
+        missing = [w for w in self.words.missing(words) if not _odd(w)]
+        self.words.new.update(zip(missing, self._strings([" " + w for w in missing])))
+        return [self.words.new.get(w) for w in words]
 
     def many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, and where the ids of each text end; null is empty."""
         lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
         first = lists.offsets.to_numpy()[:-1].astype(np.int64)
         coded = lists.flatten().dictionary_encode()
-        codes = coded.indices.to_numpy().astype(np.int64)
-        uniques = coded.dictionary.to_pylist()
+        codes, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        # Most words are letters, or letters and one mark: two pieces without a search.
+        letters = pc.utf8_is_alpha(words)
+        stem, mark = (pc.utf8_slice_codeunits(words, start=i, stop=j) for i, j in ((0, -1), (-1, None)))
+        at_mark = pc.index_in(mark, pa.array(_MARKS))
+        marked = pc.and_(pc.utf8_is_alpha(stem), pc.is_valid(at_mark))
+        marked = pc.and_not(marked, letters)
+        plain = pc.or_(letters, marked)
+        stems = pc.binary_join_element_wise("", pc.if_else(letters, words, stem), " ") \
+            .filter(plain).dictionary_encode()
+        other = words.filter(pc.invert(plain)).to_pylist()
+        heads = words.take(pa.array(codes[first])).to_pylist()
+        stem_ids = self._pieces(stems.dictionary.to_pylist())
+        other_ids = self._words(other)
+        ids = [b"", *self._pieces(_MARKS), *stem_ids, *(o or b"" for o in other_ids)]
+        head_at = len(ids)
+        ids += self._strings(heads)
+        plain = plain.to_numpy(zero_copy_only=False)
+        main = np.empty(len(words), np.int64)
+        main[plain] = 1 + len(_MARKS) + stems.indices.to_numpy()
+        main[~plain] = 1 + len(_MARKS) + len(stem_ids) + np.arange(len(other))
+        tail = np.where(marked.to_numpy(zero_copy_only=False),
+                        1 + pc.fill_null(at_mark, 0).to_numpy(), 0)
+        pairs = np.stack([main[codes], tail[codes]], 1)
         # What stands first in a text has no space before it, so it is no word like the rest.
-        heads = [uniques[c] for c in codes[first]]
-        codes[first] = len(uniques) + np.arange(len(first))
-        used = np.zeros(len(uniques) + len(first), bool)
-        used[codes] = True
-        missing = self.words.missing(u for u, y in zip(uniques, used.tolist()) if y)
-        odd = {w for w in missing if self._odd(w)}
-        missing = [w for w in missing if w not in odd]
-        got = self._strings([" " + w for w in missing] + heads)
-        known = self.words.new
-        known.update(zip(missing, got))
-        ids = [known.get(u, b"") if y else b"" for u, y in zip(uniques, used.tolist())]
-        ids += got[len(missing):]
-        alone = np.array([self._odd(h) for h in heads], bool)
-        if odd or alone.any():
-            flag = np.zeros(len(ids), bool)
-            flag[:len(uniques)] = [u in odd for u in uniques]
-            sizes = np.diff(np.append(first, len(codes)))
-            bad = np.add.reduceat(flag[codes], first) > 0 if len(first) else alone
-            for t in np.flatnonzero(bad | alone & (sizes > 1)).tolist():
-                # The whole text counts as its first word, and the other words as nothing.
-                codes[first[t]:first[t] + sizes[t]] = len(ids)
-                codes[first[t]] = len(uniques) + t
-                ids[len(uniques) + t] = self._text(texts[t].as_py() or "")
-            ids.append(b"")
+        pairs[first, 0], pairs[first, 1] = head_at + np.arange(len(first)), 0
+        stops = np.append(first[1:], len(codes))
+        bad = np.array([_odd(h) for h in heads], bool) & (stops - first > 1)
+        if None in other_ids:
+            flag = np.zeros(len(words), bool)
+            flag[~plain] = [o is None for o in other_ids]
+            flag = flag[codes]
+            flag[first] = False
+            bad |= np.add.reduceat(flag, first) > 0
+        for t in np.flatnonzero(bad).tolist():
+            # The text is cut only where no white space is near; all its ids stand first.
+            head, *rest = _CUT.split(texts[t].as_py())
+            pairs[first[t]:stops[t]] = 0
+            pairs[first[t], 0] = head_at + t
+            ids[head_at + t] = b"".join(self._strings([head, *(" " + r for r in rest)]))
         n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat, at = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(n) - n
-        each = n[codes]
+        each = n[pairs].ravel()
         ends = np.cumsum(each)
-        out = flat[np.repeat(at[codes] - (ends - each), each) + np.arange(each.sum())]
-        return out, ends[np.append(first[1:], len(codes)) - 1]
+        out = flat[np.repeat(at[pairs].ravel() - (ends - each), each) + np.arange(each.sum())]
+        return out, ends[2 * stops - 1]
 
 
 def library_encoder(vocabulary: str) -> WordEncoder:
@@ -125,9 +151,12 @@ def library_encoder(vocabulary: str) -> WordEncoder:
         library.encode_special_tokens = True
         split = regex.compile(public_tokenizers.PATTERN).findall
 
-        def encode(strings: list[str]) -> list[bytes]:
-            found = library.encode_batch_fast(strings, add_special_tokens=False)
-            return [array("I", e.ids).tobytes() for e in found]
+        merge, mapped = library.model.tokenize, str.maketrans(
+            {chr(i): c for i, c in enumerate(byte_characters())})
+
+        def encode(pieces: list[str]) -> list[bytes]:
+            return [array("I", [t.id for t in merge(p.encode().decode("latin-1").translate(mapped))])
+                    .tobytes() for p in pieces]
 
         return WordEncoder(split, encode)
 
