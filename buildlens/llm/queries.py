@@ -8,15 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from buildlens.llm.binary import op6_simple8b
 from buildlens.llm.bpe import op10_byte_bpe
+from buildlens.llm.chat import OP4_SQL, op4_prefix_tree
 from buildlens.llm.language import op2_compression_language
 from buildlens.llm.packing import op8_certified_packing
 from buildlens.llm.quality import OP7_SQL, op7_line_first_cleaning
 from buildlens.llm.simhash import op9_gray_simhash
 from buildlens.llm.toxicity import op1_sentence_toxicity
+from buildlens.llm.vafile import OP3_SQL, op3_va_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_sentence_toxicity, op2_compression_language, op6_simple8b, op7_line_first_cleaning,
+        op1_sentence_toxicity, op2_compression_language, op3_va_file, op4_prefix_tree, op6_simple8b, op7_line_first_cleaning,
         op8_certified_packing, op9_gray_simhash, op10_byte_bpe)
 }
-ORACLE_SQL: dict[str, str] = {"op7_line_first_cleaning": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op3_va_file": OP3_SQL, "op4_prefix_tree": OP4_SQL, "op7_line_first_cleaning": OP7_SQL,
+}
