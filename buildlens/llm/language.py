@@ -11,6 +11,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,6 +114,25 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes],
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, DDL)
 
 
+def recognised(docs: DataFrame, dictionaries: dict[str, bytes],
+               min_margin: float = MIN_MARGIN) -> DataFrame:
+    """The rows that are not rejected, with all their columns; a null ``lang`` is filled in."""
+    digest = hashlib.sha256(repr(sorted(dictionaries.items())).encode()).digest()
+    sent = docs.sparkSession.sparkContext.broadcast(dictionaries)
+    text_at, lang_at = docs.columns.index("text"), docs.columns.index("lang")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None
+        for part in slices(batches):
+            own = own or per_task(("language", digest), lambda: Classifier(sent.value))
+            found = [own.classify(t) for t in part.column(text_at).to_pylist()]
+            keep = pa.array([lang != UNKNOWN and s >= min_margin for lang, s in found])
+            filled = pc.coalesce(part.column(lang_at), pa.array([lang for lang, _ in found]))
+            yield part.set_column(lang_at, part.schema.field(lang_at), filled).filter(keep)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def learnable(docs: DataFrame) -> DataFrame:
     """The rows that may teach: not held out."""
     return docs.filter(remainder("doc_id", 3) != 1)

@@ -106,6 +106,14 @@ def clean_lines(docs: DataFrame, max_loss: float = MAX_LOSS) -> DataFrame:
         "kept", ~base & (lost <= F.col("n_words") * max_loss))
 
 
+def cleaned(docs: DataFrame, max_loss: float = MAX_LOSS) -> DataFrame:
+    """The kept rows with all their columns; ``text`` and ``n_chars`` are of what is left."""
+    found = clean_lines(docs, max_loss).filter("kept")
+    new = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
+    return found.select(*(new[c].alias(c) if c in new else F.col("input").getField(c).alias(c)
+                          for c in docs.columns))
+
+
 def op7_line_first_cleaning(spark: SparkSession, folder: str) -> DataFrame:
     return clean_lines(table(spark, folder, "documents")).select(
         "input.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

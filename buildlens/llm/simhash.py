@@ -29,7 +29,7 @@ SUB_BANDS = ((15, 21), (14, 36), (14, 50))
 # search that a task holds at once.
 CROWD, FAN, FRONTIER = 20_000, 8, 2_000_000
 
-FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("fp", pa.int64())])
 
 
 def fingerprint(text: str | None) -> int:
@@ -58,13 +58,15 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp`` of every row, by its whole text."""
+    """``doc_id, t, fp`` of every row, by its whole text; ``t`` is a hash of the text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             yield record_batch(FINGERPRINTS, [
-                part.column(0), [fingerprint(t) for t in part.column(1).to_pylist()]])
+                part.column(0), part.column(1),
+                [fingerprint(t) for t in part.column(2).to_pylist()]])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), "text") \
+        .mapInArrow(run, "doc_id long, t long, fp long")
 
 
 def gray_rank(values: np.ndarray) -> np.ndarray:
@@ -200,7 +202,7 @@ def near_links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """``doc_id, fp, root, component_id`` for every row of ``docs``.
+    """``doc_id, t, fp, root, component_id`` for every row of ``docs``.
 
     ``component_id`` is the smallest id among all documents reached over links, null only if
     all their ids are null; ``root`` names the component by its smallest fingerprint. Null
@@ -215,7 +217,23 @@ def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     named = rooted.join(ids, "root").select("fp", "root", "component_id").union(
         least.join(linked, least.fp == linked.node, "left_anti")
         .select("fp", F.col("fp").alias("root"), "least"))
-    return found.join(named, "fp").select("doc_id", "fp", "root", "component_id")
+    return found.join(named, "fp").select("doc_id", "t", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest id.
+
+    A null id comes after all others; of rows with the same id that of the smaller text hash,
+    and of equal ids and texts one, stays.
+    """
+    last = F.lit((1 << 63) - 1)
+    first = near_duplicates(docs, crowd).groupBy("root").agg(
+        F.min(F.struct(F.coalesce("doc_id", last).alias("d"), F.col("t"))).alias("first"))
+    keyed = docs.select(F.struct("*").alias("row"),
+                        F.coalesce(F.col("doc_id").cast("long"), last).alias("d"),
+                        F.xxhash64("text").alias("t"))
+    return keyed.join(first.select("first.d", "first.t"), ["d", "t"], "left_semi") \
+        .dropDuplicates(["d", "t"]).select("row.*")
 
 
 def op9_gray_simhash(spark: SparkSession, folder: str) -> DataFrame:

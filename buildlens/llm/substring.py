@@ -11,11 +11,13 @@ seen before. An anchor with very many different passages is settled window by wi
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -293,8 +295,6 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, stretch: int = STRETCH
 
 def _kept(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without the words in ``spans``; white space before a removed word goes too."""
-    import re
-
     out, at = [], 0
     found = [m.span() for m in re.finditer("[^\\x20\\x09-\\x0D]+", text)]
     for a, b in spans:
@@ -342,5 +342,32 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, stretch: int = STRETCH
         run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
+def without_repeats(docs: DataFrame, window: int = WINDOW, stretch: int = STRETCH,
+                    crowd: int = CROWD) -> DataFrame:
+    """All rows with all their columns; ``text`` and ``n_chars`` are of what is left."""
+    text_at = docs.columns.index("text")
+    chars_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            spans = part.column(part.num_columns - 1).to_pylist()
+            part = part.select(range(part.num_columns - 1))
+            if any(spans):
+                texts = [
+                    _kept(t, _merged((s["start"], s["stop"]) for s in x)) if x else t
+                    for t, x in zip(part.column(text_at).to_pylist(), spans)]
+                part = part.set_column(text_at, part.schema.field(text_at), pa.array(texts, pa.string()))
+                if chars_at is not None:
+                    size = pc.cast(pc.utf8_length(part.column(text_at)), pa.int64())
+                    size = pc.if_else(pa.array(list(map(bool, spans))), size, part.column(chars_at))
+                    part = part.set_column(chars_at, part.schema.field(chars_at), size)
+            yield part
+
+    spans = repeated_spans(docs, window, stretch, crowd)
+    keyed = docs.select(F.struct("*").alias("row"), _key().alias("d"), F.xxhash64("text").alias("t"))
+    return keyed.join(spans, ["d", "t"], "left").select("row.*", F.col("spans").alias("_spans_")) \
+        .mapInArrow(run, docs.schema)
+
+
 def op5_suffix_automata(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(table(spark, folder, "documents")).drop("kept_text")
