@@ -180,9 +180,10 @@ def near_links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
         keyed = keyed.join(crowded, ["i", "value"], "left_anti").select(again.columns).union(again)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = pa.Table.from_batches(list(batches))
-        if got.num_rows < 2:
+        got = list(batches)
+        if sum(b.num_rows for b in got) < 2:
             return
+        got = pa.Table.from_batches(got)
         code = got["fp"].to_numpy().view(np.uint64)
         turn = np.array([at for _, at in BANDS], np.uint64)[got["i"].to_numpy()]
         rotated = np.where(turn == 0, code, code << turn | code >> (np.uint64(64) - turn) % np.uint64(64))
