@@ -11,21 +11,20 @@ from pyspark.sql import functions as F
 
 from buildlens import fixed
 
-_WIDTH = 9
-_PARTS = 4
-
-
 def _blank(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
 def semantic_key(c: Column) -> Column:
-    """The first four numbers of a version, padded so that text order is number order."""
-    numbers = F.concat(
-        F.regexp_extract_all(c, F.lit(r"(\d+)"), 1), F.array_repeat(F.lit("0"), _PARTS)
-    )
-    padded = F.transform(F.slice(numbers, 1, _PARTS), lambda x: F.lpad(x, _WIDTH, "0"))
-    return F.array_join(padded, ".")
+    """All numbers of a version, of any size, as text whose order is that of the numbers.
+
+    A number is written as the count of its digits and the digits; zeros at the end of a
+    version do not count.
+    """
+    numbers = F.transform(
+        F.regexp_extract_all(c, F.lit(r"(\d+)"), 1), lambda x: F.regexp_replace(x, "^0+(?=.)", ""))
+    sized = F.transform(numbers, lambda x: F.concat(F.lpad(F.length(x).cast("string"), 9, "0"), x))
+    return F.regexp_replace(F.array_join(sized, "."), r"((^|\.)0000000010)+$", "")
 
 
 def version_gate(c: Column, op: str, bound: str, mode: str = "lexical") -> Column:

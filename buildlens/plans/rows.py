@@ -43,23 +43,31 @@ def is_prerelease(t: Inputs):
 
 
 @query("f4_version_gate", r"""
-WITH keyed AS (
-  SELECT run_id, tag, array_to_string(list_transform(
-    list_concat(regexp_extract_all(tag, '\d+'), ['0', '0', '0', '0'])[1:4], lambda x: lpad(x, 9, '0')), '.') AS k
-  FROM branches)
+WITH tagged AS (
+  SELECT run_id, tag FROM branches
+  UNION ALL SELECT run_id, concat(tag, '-', CAST(20220505101112 + run_id AS STRING)) FROM branches
+  UNION ALL SELECT run_id, concat(tag, '.0.0.1.', CAST(run_id % 3 AS STRING)) FROM branches),
+keyed AS (
+  SELECT run_id, tag, list_transform(list_concat(regexp_extract_all(tag, '\d+'), list_transform(range(9), lambda i: '0')),
+                                     lambda x: CAST(x AS HUGEINT))[1:9] AS k
+  FROM tagged)
 SELECT run_id, tag, tag >= 'v5.3.0' AS lexical, tag <= 'v5.1' AS lexical_old,
-       k >= '000000005.000000003.000000000.000000000' AS semantic,
-       k <= '000000005.000000001.000000000.000000000' AS semantic_old
+       k >= [5, 3, 0, 0, 0, 0, 0, 0, 0]::HUGEINT[] AS semantic, k <= [5, 1, 0, 0, 0, 0, 0, 0, 0]::HUGEINT[] AS semantic_old,
+       k > [5, 3, 0, 999999999, 0, 0, 0, 0, 0]::HUGEINT[] AS after_a_build
 FROM keyed
 """)
 def version_gate(t: Inputs):
-    tag = F.col("tag")
-    return t.view("branches").select(
+    tag, run = F.col("tag"), F.col("run_id")
+    tags = F.array(
+        tag, F.concat(tag, F.lit("-"), (run + 20220505101112).cast("string")),
+        F.concat(tag, F.lit(".0.0.1."), (run % 3).cast("string")))
+    return t.view("branches").select("run_id", F.explode(tags).alias("tag")).select(
         "run_id", "tag",
         versions.version_gate(tag, ">=", "v5.3.0").alias("lexical"),
         versions.version_gate(tag, "<=", "v5.1").alias("lexical_old"),
         versions.version_gate(tag, ">=", "v5.3.0", mode="semantic").alias("semantic"),
-        versions.version_gate(tag, "<=", "v5.1", mode="semantic").alias("semantic_old"))
+        versions.version_gate(tag, "<=", "v5.1", mode="semantic").alias("semantic_old"),
+        versions.version_gate(tag, ">", "v5.3.0-999999999", mode="semantic").alias("after_a_build"))
 
 
 @query("f5_severity_filter", """

@@ -20,3 +20,36 @@ def test_types_without_a_checker_are_counted(rows):
     df = rows([("a", "Q"), ("b", "Q"), ("c", "Q"), (None, "Q")], "task_type string, x string")
     assert sorted(r.checked for r in found.run(df).collect()) == ["Q", "q"]
     assert {r.task_type: r.skipped for r in found.skipped(df).collect()} == {"c": 1, None: 1}
+
+
+def test_ids_and_nulls_reach_the_body_unchanged(rows):
+    big = (1 << 60) + 1
+    df = rows([(big, None, None), (None, 1, 0)], "id long, timeout int, retry int")
+    got = {(r.id, r.result) for r in checkers.run_checker(df, lambda t: repr(t["id"])).collect()}
+    assert got == {(big, str(big)), (None, "None")}
+
+
+def test_a_body_is_tried_again(rows):
+    tries = {}
+
+    def body(task):
+        tries[task["n"]] = tries.get(task["n"], 0) + 1
+        if tries[task["n"]] < 3:
+            raise ValueError(f"try {tries[task['n']]}")
+        return "done"
+
+    df = rows([(1, 1, 3), (2, 1, 2), (3, 1, 0)], "n int, timeout int, retry int").coalesce(1)
+    got = {r.n: (r.status, r.result, r.error) for r in checkers.run_checker(df, body).collect()}
+    assert got == {1: ("passed", "done", None), 2: ("failed", None, "try 2"), 3: ("failed", None, "try 1")}
+
+
+def test_bodies_and_frames_register_like_expressions(rows):
+    found = checkers.Checkers()
+    found.register("a", lambda df: F.upper(df.x))
+    found.register_body("b", lambda t: t["x"] + "!")
+    found.register_frame("c", lambda df: df.withColumns({"lines": F.lit(3), "bad": F.lit(1)}))
+    df = rows([("a", "q", None, None), ("b", "q", None, 1), ("c", "q", None, None), ("d", "q", None, None)],
+              "task_type string, x string, timeout int, retry int")
+    got = {r.task_type: r for r in found.run(df).collect()}
+    assert sorted(got) == ["a", "b", "c"] and got["a"].checked == "Q" and got["a"].lines is None
+    assert (got["b"].status, got["b"].result) == ("passed", "q!") and (got["c"].lines, got["c"].bad) == (3, 1)

@@ -78,8 +78,58 @@ def test_alerts_once_per_failed_run(spark, stream):
     batches = [[(1, "FAILURE", minutes(0)), (1, "FAILURE", minutes(1)), (2, "SUCCESS", minutes(1))],
                [(1, "FAILURE", minutes(2)), (3, "FAILURE", minutes(3))]]
     runs = stream(batches, "run_id long, result string, ts timestamp")
-    assert sorted(r.run_id for r in drain(spark, flows.failure_alerts(runs))) == [1, 3]
-    assert sorted(r.run_id for r in drain(spark, flows.failure_alerts(runs, "always"))) == [1, 2, 3]
+    assert sorted(r.run_id for r in alerts(spark, runs)) == [1, 3]
+    assert sorted(r.run_id for r in alerts(spark, runs, policy="always")) == [1, 2, 3]
+
+
+def alerts(spark, runs, **options):
+    table = scratch(spark, "alerts")
+    flows.failure_alerts(runs, table, scratch(spark, "alerts-checkpoint"), **options).awaitTermination()
+    return spark.read.parquet(table).drop("batch").collect()
+
+
+BIG = (1 << 60) + 1
+
+
+def test_late_first_failures_alert_once_and_unchanged(spark, stream):
+    batches = [[(1, "FAILURE", minutes(0), None), (2, "FAILURE", minutes(9000), BIG)],
+               [(3, "FAILURE", minutes(5), BIG), (1, "FAILURE", minutes(9001), BIG), (4, "FAILURE", None, BIG)],
+               [(None, "FAILURE", minutes(1), BIG), (2, "FAILURE", minutes(1), None)],
+               [(None, "FAILURE", minutes(2), BIG), (3, "FAILURE", minutes(20000), None)]]
+    runs = stream(batches, "run_id long, result string, ts timestamp, build long")
+    got = {r.run_id: r.build for r in alerts(spark, runs)}
+    assert got == {1: None, 2: BIG, 3: BIG, 4: BIG, None: BIG}
+
+
+def test_windowed_dedupe_leaves_values_alone(spark, stream):
+    rows = [(i % 3, minutes(i), BIG if i % 2 else None) for i in range(9)]
+    requests = stream([rows], "repo long, ts timestamp, build long")
+    got = drain(spark, flows.dedupe_requests(requests, ["repo"]))
+    assert sorted(r.repo for r in got) == [0, 1, 2] and {r.build for r in got} <= {None, BIG}
+
+
+def test_waits_keep_large_ids_and_reject_nulls(spark, stream, rows):
+    batches = [[(BIG, minutes(0), False), (None, minutes(0), True), (BIG + 1, minutes(1), True),
+                (BIG, None, True), (BIG, minutes(3000), True)], [(5, minutes(4000), True)]]
+    polls = stream(batches, "id long, ts timestamp, finished boolean")
+    got = drain(spark, waits.await_finished(polls, timeout_s=3600, delay="5 minutes"))
+    assert {(r.id, r.outcome, r.polls) for r in got} == {
+        (BIG, "timed_out", 1), (BIG + 1, "finished", 1), (5, "finished", 1)}
+    flat = spark.createDataFrame(batches[0], "id long, ts timestamp, finished boolean")
+    assert {tuple(r) for r in waits.rejected(flat, "id", "ts").collect()} == {("id", 1), ("ts", 1)}
+    batches = [[(7, BIG, minutes(0), "SUCCESS"), (7, BIG + 1, minutes(1), "RUNNING"), (7, None, minutes(1), "ERROR"),
+                (None, 3, minutes(1), "ERROR")], [(7, BIG + 1, minutes(2), "SUCCESS")]]
+    expected = rows([(7, 2)], "run_id long, expected long")
+    runs = stream_of(spark, batches, "run_id long, exec_id long, ts timestamp, status string")
+    got = drain(spark, waits.await_all_plans(runs, expected, timeout_s=3600, delay="5 minutes"))
+    assert [(r.run_id, r.outcome, r.open) for r in got] == [(7, "passed", 0)]
+
+
+def stream_of(spark, batches, schema):
+    folder = scratch(spark, "in")
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def test_upserts_keep_the_last_status(spark, stream, tmp_path):
