@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from buildlens import fixed
+from buildlens.functions.versions import is_prerelease
 from buildlens.operators import ordered
 
 
@@ -141,14 +142,18 @@ def expected_binaries(images: DataFrame, product: str = "product", tag: str = "t
 
 def attest(
     expected: DataFrame, actual: DataFrame, keys: list[str],
-    commit: str = "commit", tag: str = "tag",
+    commit: str = "commit", tag: str = "tag", every_tag: bool = False,
 ) -> DataFrame:
-    """Every expected and every actual binary with a verdict.
+    """Every expected and every actual binary of a nightly or alpha tag with a verdict.
+
+    Binaries of other tags are not attested, unless ``every_tag`` is set.
 
     pass: commit and tag agree; fail: they differ; missing: nothing was built;
     unexpected: nobody asked for it. The full outer join is written as a left and an
     anti join, as only those can split a hot key.
     """
+    if not every_tag:
+        expected, actual = (df.filter(is_prerelease(F.col(tag))) for df in (expected, actual))
     want = expected.select(
         *keys, F.col(commit).alias("commit_expected"),
         F.replace(F.col(tag), F.lit("v"), F.lit("")).alias("tag_expected"),

@@ -151,11 +151,12 @@ SELECT run_id, product AS REPO, CASE WHEN run_id % 7 = 0 THEN '' ELSE product EN
 FROM branches
 """,
     "wanted_builds": """
-SELECT artifact_id, product, sha AS commit, concat(tag, '-nightly') AS tag FROM artifacts WHERE length(sha) = 40
+SELECT artifact_id, product, sha AS commit, concat(tag, CASE WHEN artifact_id % 7 = 0 THEN '' ELSE '-nightly' END) AS tag
+FROM artifacts WHERE length(sha) = 40
 """,
     "found_builds": """
 SELECT artifact_id, product, CASE WHEN artifact_id % 11 = 0 THEN NULL ELSE sha END AS commit,
-       concat(tag, CASE WHEN artifact_id % 3 = 0 THEN '-alpha' ELSE '-nightly' END) AS tag
+       concat(tag, CASE WHEN artifact_id % 7 = 0 THEN '' WHEN artifact_id % 3 = 0 THEN '-alpha' ELSE '-nightly' END) AS tag
 FROM artifacts WHERE tag < 'v6.3.0'
 """,
     "receivers": """

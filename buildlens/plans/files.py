@@ -21,14 +21,18 @@ def _kv(key: str, col, indent: int = 0):
 
 @query("s1_run_specs", """
 SELECT product AS name, 'acme' AS owner, product AS repo, branch AS defaultRef, run_id AS id, concat(author, ',pr-author,trigger') AS lark,
+  list_extract(['6.10', '0123', 'on', '2021-13-45'], CAST(run_id % 4 AS INTEGER) + 1) AS pullRequest,
   concat(product, '-', kind) AS taskName, CASE WHEN kind = 'build' THEN CAST(run_id % 9 AS INTEGER) END AS timeout,
   CASE WHEN kind = 'build' THEN concat('make ', product) END AS script
 FROM branches CROSS JOIN (SELECT unnest(['build', 'lint']) AS kind) k
 """)
 def run_specs(t: Inputs):
     product = F.col("product")
+    # Text that YAML would take for numbers, a flag and a date.
+    written = F.element_at(F.array(*map(F.lit, ("6.10", "0123", "on", "2021-13-45"))),
+                           (F.col("run_id") % 4 + 1).cast("int"))
     doc = _lines(
-        _kv("id", F.col("run_id")), _kv("pipelineName", product),
+        _kv("id", F.col("run_id")), _kv("pipelineName", product), _kv("pullRequest", written),
         F.concat(F.lit("repo: acme/"), product), _kv("defaultRef", F.col("branch")),
         "unknownField: 1", "notify:", F.concat(F.lit("  lark: ["), F.col("author"), F.lit("]")),
         "tasks:", F.concat(F.lit("- taskName: "), product, F.lit("-build")),
@@ -42,8 +46,8 @@ def run_specs(t: Inputs):
     return specs.select(
         F.col("pipelineName").alias("name"), "owner", "repo", "defaultRef",
         F.col("id").cast("bigint").alias("id"), F.array_join("notify.lark", ",").alias("lark"),
-        F.explode("tasks").alias("task"),
-    ).select("name", "owner", "repo", "defaultRef", "id", "lark", "task.taskName", "task.timeout",
+        "pullRequest", F.explode("tasks").alias("task"),
+    ).select("name", "owner", "repo", "defaultRef", "id", "lark", "pullRequest", "task.taskName", "task.timeout",
              F.col("task.params")["shellScript"].alias("script"))
 
 
@@ -51,8 +55,10 @@ def run_specs(t: Inputs):
 SELECT branch AS defaultRef, taskType, concat(product, '-', CAST(run_id AS STRING)) AS name,
   CASE taskType WHEN 'build' THEN 'golang-1.16' WHEN 'common' THEN concat('img-', product) END AS image,
   CASE taskType WHEN 'build' THEN '8Gi' END AS limit_mem, CASE taskType WHEN 'unit-test' THEN '50' END AS coverageRate,
-  CASE taskType WHEN 'unit-test' THEN concat(author, ':TOKEN') END AS secrets
+  CASE taskType WHEN 'unit-test' THEN concat(author, ':TOKEN') END AS secrets, CAST(NULL AS STRING) AS error
 FROM branches CROSS JOIN (SELECT unnest(['build', 'unit-test', 'common']) AS taskType) k
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN run_id % 2 = 0 THEN 'tasks is no list' ELSE 'ParserError' END
+FROM branches WHERE run_id % 5 = 0
 """)
 def legacy_tasks(t: Inputs):
     name = F.concat(F.lit("  name: "), F.col("product"), F.lit("-"), F.col("run_id").cast("string"))
@@ -65,12 +71,16 @@ def legacy_tasks(t: Inputs):
         F.concat(F.lit("    image: img-"), F.col("product")), "---",
     )
     path = scratch(t.spark, "legacy")
-    t.view("branches").select(doc.alias("value")).write.text(path)
+    broken = F.when(F.col("run_id") % 2 == 0, F.lit("tasks: {a: 1}\n---")).otherwise("tasks: [unclosed\n---")
+    branches = t.view("branches")
+    branches.select(doc.alias("value")).union(
+        branches.filter(F.col("run_id") % 5 == 0).select(broken)).write.text(path)
     secrets = F.transform("secretVar", lambda s: F.concat_ws(":", s["secretID"], s["key"]))
     return configs.read_legacy_tasks(t.spark, path).select(
         "defaultRef", "taskType", "name", F.col("buildEnv.image").alias("image"),
         F.col("buildEnv.limit.mem").alias("limit_mem"), "coverageRate",
-        F.array_join(secrets, ",").alias("secrets"))
+        F.array_join(secrets, ",").alias("secrets"),
+        F.substring_index("_error", ":", 1).alias("error"))
 
 
 @query("s3_task_json", """

@@ -102,8 +102,8 @@ def expected_binaries(t: Inputs):
 
 
 @query("j8_attest", """
-WITH w AS (SELECT artifact_id, commit, replace(tag, 'v', '') AS tag FROM wanted_builds),
-f AS (SELECT artifact_id, commit, regexp_replace(tag, 'v', '') AS tag FROM found_builds)
+WITH w AS (SELECT artifact_id, commit, replace(tag, 'v', '') AS tag FROM wanted_builds WHERE contains(tag, 'nightly') OR contains(tag, 'alpha')),
+f AS (SELECT artifact_id, commit, regexp_replace(tag, 'v', '') AS tag FROM found_builds WHERE contains(tag, 'nightly') OR contains(tag, 'alpha'))
 SELECT COALESCE(w.artifact_id, f.artifact_id) AS artifact_id, w.commit AS commit_expected, f.commit AS commit_actual,
   w.tag AS tag_expected, f.tag AS tag_actual,
   CASE WHEN w.artifact_id IS NULL THEN 'unexpected' WHEN f.artifact_id IS NULL THEN 'missing'

@@ -11,7 +11,8 @@ from buildlens import schemas
 def read_junit(spark: SparkSession, path: str, allow_empty: bool = True) -> DataFrame:
     """One row per test case with its outcome; ``report`` names the file.
 
-    Lint and security reports may be empty; for others pass ``allow_empty=False``.
+    Lint and security reports may be empty; for others pass ``allow_empty=False``, and
+    a report without test cases is a row with the outcome ``empty``.
     """
     cases = (
         spark.read.format("xml").option("rowTag", "testcase").schema(schemas.JUNIT_CASE).load(path)
@@ -27,9 +28,15 @@ def read_junit(spark: SparkSession, path: str, allow_empty: bool = True) -> Data
             F.coalesce("failure._message", "error._message", "skipped._message").alias("message"),
         )
     )
-    if not allow_empty and cases.isEmpty():
-        raise ValueError(f"no test cases in {path}")
-    return cases
+    if allow_empty:
+        return cases
+    # Only names are listed, no content is read.
+    listed = spark.read.format("binaryFile").load(path) \
+        .select(F.col("_metadata.file_name").alias("report"))
+    empty = listed.join(cases.select("report").distinct(), "report", "left_anti")
+    return cases.unionByName(
+        empty.withColumns({"outcome": F.lit("empty"), "message": F.lit("no test cases")}),
+        allowMissingColumns=True)
 
 
 def read_cobertura(spark: SparkSession, path: str) -> DataFrame:
@@ -103,8 +110,8 @@ def checksum_artifacts(spark: SparkSession, path: str, algorithm: str = "sha256"
 def read_checksums(spark: SparkSession, path: str) -> DataFrame:
     """Recorded sums: ``<sum>  <file>`` in a file named after the one it belongs to."""
     return (
-        spark.read.format("binaryFile").load(path)
-        .filter(F.col("path").rlike(r"\.(sha256sum|md5)$"))
+        # The pattern holds while files are listed: no artifact is opened.
+        spark.read.format("binaryFile").option("pathGlobFilter", "*.{sha256sum,md5}").load(path)
         .select(
             F.regexp_replace("path", r"\.(sha256sum|md5)$", "").alias("path"),
             F.substring_index(F.trim(F.col("content").cast("string")), " ", 1).alias("checksum"),

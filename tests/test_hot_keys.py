@@ -102,10 +102,13 @@ def test_final_attempt(rows):
 
 def test_attest_keeps_copies(rows):
     expected = rows([(1, "c1", "v1.0-nightly"), (2, "c2", "v1.0-nightly")], "id int, commit string, tag string")
-    actual = rows([(1, "c1", "v1.0-nightly")] * 3 + [(1, "x", "v1.0-nightly"), (3, "c3", "v1")],
+    actual = rows([(1, "c1", "v1.0-nightly")] * 3 + [(1, "x", "v1.0-nightly"), (3, "c3", "v1-alpha"), (4, "c4", "v1")],
                   "id int, commit string, tag string")
+    want = [(1, "fail"), (1, "pass"), (1, "pass"), (1, "pass"), (2, "missing"), (3, "unexpected")]
     got = sorted((x.id, x.status) for x in joins.attest(expected, actual, ["id"]).collect())
-    assert got == [(1, "fail"), (1, "pass"), (1, "pass"), (1, "pass"), (2, "missing"), (3, "unexpected")]
+    assert got == want
+    got = sorted((x.id, x.status) for x in joins.attest(expected, actual, ["id"], every_tag=True).collect())
+    assert got == [*want, (4, "unexpected")]
 
 
 def test_pending_and_existing_split_the_requests(rows):

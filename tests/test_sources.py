@@ -140,8 +140,10 @@ def test_junit(spark, tmp_path):
 def test_empty_junit(spark, tmp_path):
     path = put(tmp_path, "e.xml", "<testsuites></testsuites>")
     assert reports.read_junit(spark, path).count() == 0
-    with pytest.raises(ValueError):
-        reports.read_junit(spark, path, allow_empty=False)
+    put(tmp_path, "full.xml", '<testsuites><testsuite><testcase classname="c" name="ok"/></testsuite></testsuites>')
+    got = reports.read_junit(spark, str(tmp_path), allow_empty=False).collect()
+    assert sorted((r.report, r.name, r.outcome) for r in got) == [
+        ("e.xml", None, "empty"), ("full.xml", "ok", "passed")]
 
 
 def test_cobertura(spark, tmp_path):
@@ -204,3 +206,47 @@ def test_checksums(spark, tmp_path):
         "a.tar.gz": "same", "b.tar.gz": "different", "c.tar.gz": "unrecorded"}
     md5 = reports.checksum_artifacts(spark, str(tmp_path), "md5").filter(F.col("path").endswith("a.tar.gz"))
     assert md5.collect()[0].checksum == hashlib.md5(b"one").hexdigest()
+
+
+def test_yaml_scalars_stay_as_written(spark, tmp_path):
+    put(tmp_path, "a.yaml", """pipelineName: 2021-13-45
+defaultRef: 6.10
+branch: 0123
+commitID: 1_000
+status: on
+id: 7
+tasks: [{taskName: t, timeout: 0x10, params: {flag: yes, empty: ~}}]
+""")
+    r = configs.read_pipeline_specs(spark, str(tmp_path)).head()
+    assert (r.pipelineName, r.defaultRef, r.branch, r.commitID, r.status, r.id) == (
+        "2021-13-45", "6.10", "0123", "1_000", "on", 7)
+    assert r.tasks[0].timeout == 16 and r.tasks[0].params == {"flag": "yes", "empty": None}
+
+
+def test_no_document_is_lost(spark, tmp_path):
+    (tmp_path / "crlf.yaml").write_bytes(
+        b"tasks:\r\n- {taskType: a, name: one}\r\n---\r\ntasks:\r\n- {taskType: a, name: two}\r\n--- \r\n")
+    put(tmp_path, "bad.yaml", "---\ntasks: [\n---\ntasks: {no: list}\n---\n- a\n---\n"
+                              "? [x, y]\n: 1\n---\n# nothing\n---\ntasks:\n- {taskType: a, name: three}\n")
+    rows = configs.read_legacy_tasks(spark, str(tmp_path)).collect()
+    assert sorted(r.name for r in rows if r._error is None) == ["one", "three", "two"]
+    errors = [r._error for r in rows if r._error]
+    assert len(errors) == 4 and "tasks is no list" in errors and all(r.name is None for r in rows if r._error)
+
+
+def test_all_arrays_of_a_file_are_read(spark, tmp_path):
+    put(tmp_path, "r.json", '[\n{"name": "a][b", "type": "task"},\n{"name": "r", "type": "TiPipeline"}\n]\n'
+                            '[{"name": "c", "type": "task"}]\n')
+    tasks, runs, _ = results.read_ci_results(spark, str(tmp_path))
+    assert sorted(r.name for r in tasks.collect()) == ["a][b", "c"] and runs.count() == 1
+    put(tmp_path, "half.json", '[\n{"name": "d", "type": "task"},\n')
+    with pytest.raises(Exception):
+        results.read_ci_results(spark, str(tmp_path))[0].collect()
+
+
+def test_artifacts_are_not_opened_for_their_sums(spark, tmp_path):
+    (tmp_path / "a.tar.gz").write_bytes(b"x")
+    put(tmp_path, "a.tar.gz.sha256sum", "abc  a.tar.gz")
+    put(tmp_path, "b.so.md5", "def  b.so")
+    got = {r.path.rsplit("/", 1)[1]: r.checksum for r in reports.read_checksums(spark, str(tmp_path)).collect()}
+    assert got == {"a.tar.gz": "abc", "b.so": "def"}
