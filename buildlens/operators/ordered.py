@@ -2,8 +2,9 @@
 
 A window over a key puts all rows of that key into one task. These functions cut the
 time of a key into stretches (a day by default), and a stretch with more than
-``crowd`` rows of one key into as many even pieces as it holds crowds. They work
-inside each piece and carry one summary row per piece to the pieces beside it. So
+``crowd`` rows of one key into pieces of ``crowd`` to twice ``crowd`` rows: at seconds
+where the counts say so, and evenly inside a second that is crowded itself. Only rows
+of one instant stay together, however many. They work inside each piece and carry one summary row per piece to the pieces beside it. So
 rows spread over (key, stretch, piece), and only the summaries meet on the key: one
 per day that has rows, and one more per ``crowd`` rows. Keys must not be null.
 """
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 DAY = 86_400
 CROWD = 1_000_000
-_STRETCH, _PIECE = "__stretch", "__piece"
+_STRETCH, _PIECE, _SECOND = "__stretch", "__piece", "__second"
 
 
 def _cut(
@@ -30,19 +31,28 @@ def _cut(
     """
     length = seconds * 1_000_000
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    stretch = F.floor(micros / F.lit(length))
-    rows = df.withColumn(_STRETCH, stretch)
-    width = F.greatest(F.floor(F.lit(float(length) * crowd) / F.col("__n")), F.lit(1))
+    second = F.floor(micros / F.lit(1_000_000))
+    named = {_STRETCH: F.floor(micros / F.lit(length)), _SECOND: second}
+    rows = df.withColumns(named)
+    seen = (df if counted is None else counted).withColumns(named)
     crowded = (
-        (df if counted is None else counted).withColumn(_STRETCH, stretch)
-        .groupBy(*keys, _STRETCH).agg(F.count("*").alias("__n"))
-        .filter(F.col("__n") > crowd).select(*keys, _STRETCH, width.alias("__width"))
+        seen.groupBy(*keys, _STRETCH).agg(F.count("*").alias("__n"))
+        .filter(F.col("__n") > crowd).select(*keys, _STRETCH)
     )
-    # At most one row per ``crowd`` rows of the input, hence small enough to broadcast.
-    into = F.floor((micros - F.col(_STRETCH) * F.lit(length)) / F.col("__width"))
-    return rows.join(F.broadcast(crowded), [*keys, _STRETCH], "left").withColumn(
+    # Of a stretch at most as many rows as it has seconds meet in the window.
+    so_far = Window.partitionBy(*keys, _STRETCH).orderBy(_SECOND) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cuts = (
+        seen.join(crowded, [*keys, _STRETCH], "left_semi")
+        .groupBy(*keys, _STRETCH, _SECOND).agg(F.count("*").alias("__n"))
+        .withColumn("__base", F.floor((F.sum("__n").over(so_far) - F.col("__n")) / F.lit(crowd)))
+        .withColumn("__parts", F.ceil(F.col("__n") / F.lit(crowd))).drop("__n")
+    )
+    inside = F.floor((micros - F.col(_SECOND) * F.lit(1_000_000)) * F.col("__parts") / F.lit(1_000_000))
+    into = F.col("__base") * F.lit(1_000_000) + inside
+    return rows.join(cuts, [*keys, _STRETCH, _SECOND], "left").withColumn(
         _PIECE, F.coalesce(into, F.lit(0))
-    ).drop("__width")
+    ).drop("__base", "__parts", _SECOND)
 
 
 def _with_carry(

@@ -128,3 +128,15 @@ def test_last_builds_of_a_hot_job(rows):
     got = windows.last_builds(rows(data, "job string, n int"), ["job"], [F.col("n").desc()], 4).collect()
     for job in {d[0] for d in data}:
         assert sorted(x.n for x in got if x.job == job) == sorted(n for k, n in data if k == job)[-4:]
+
+
+@pytest.mark.parametrize("step", [3_000, 50], ids=["a burst of a minute", "a burst of a second"])
+def test_pieces_hold_few_rows_in_a_burst(rows, step):
+    crowd, n = 100, 20_000
+    data = [("hot", START + dt.timedelta(hours=5, microseconds=i * step)) for i in range(n)]
+    data += [("hot", START + dt.timedelta(seconds=i * 80)) for i in range(1000)]
+    cut = ordered._cut(rows(data, "k string, ts timestamp"), ["k"], "ts", ordered.DAY, crowd)
+    pieces = cut.groupBy("__piece").agg(
+        F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b")).orderBy("__piece").collect()
+    assert sum(p.n for p in pieces) == n + 1000 and max(p.n for p in pieces) <= 2 * crowd
+    assert all(x.b < y.a for x, y in zip(pieces, pieces[1:]))

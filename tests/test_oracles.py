@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from buildlens.plans import catalog
 from tests.compare import differences, duck
 
 
@@ -11,7 +12,7 @@ def con(folder):
     return duck(folder)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", catalog.names())
 def test_query(spark, folder, con, name):
     df = entry.queries()[name](spark, folder)
     assert differences(df, con, entry.oracle_sql()[name]) == []
