@@ -20,6 +20,15 @@ def _path(arch: str, failpoint: str = "") -> str:
     return _PATH.format(arch=arch, failpoint=failpoint)
 
 
+def _any_path(failpoint: str) -> str:
+    """The path by the column ``arch`` and a condition for failpoint files."""
+    return " ".join(
+        ["CASE"] + [f"WHEN arch = '{arch}' AND {cond} THEN {_path(arch, suffix)}"
+                    for arch in ("amd64", "arm64")
+                    for cond, suffix in ((f"({failpoint})", "-failpoint"), (f"NOT ({failpoint})", ""))]
+        + ["END"])
+
+
 @query("d10_build_info", f"""
 WITH asked AS (SELECT artifact_id, product, branch, sha, CASE WHEN product = 'tidb-lightning' THEN 'br' ELSE product END AS packed,
                       CASE WHEN product = 'tics' THEN 'tiflash' ELSE product END AS file FROM image_versions)
@@ -71,27 +80,35 @@ entries AS (
   UNION ALL SELECT branch, product, 'failpoint' FROM refs, fail
   UNION ALL SELECT branch, 'monitoring', 'monitoring' FROM refs WHERE branch = 'master'),
 moved AS (SELECT *, {_REPO} AS repo, CASE WHEN product = 'tidb-lightning' THEN 'br' ELSE product END AS packed FROM entries),
-found AS (SELECT m.*, l.sha FROM moved m JOIN latest l ON l.repo = m.repo AND l.ref = m.branch WHERE length(l.sha) = 40),
-paths AS (SELECT *, CASE WHEN kind = 'failpoint' THEN {_path('amd64', '-failpoint')} ELSE {_path('amd64')} END AS path FROM found),
-stored AS (SELECT {_path('amd64')} AS path FROM (SELECT *, CASE WHEN product = 'tidb-lightning' THEN 'br' ELSE product END AS packed FROM image_versions) v
-           WHERE arch = 'amd64')
-SELECT branch, product, kind, repo, sha AS commit, path FROM paths p WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.path = p.path)
+found AS (SELECT m.*, l.sha FROM moved m LEFT JOIN latest l ON l.repo = m.repo AND l.ref = m.branch),
+paths AS (SELECT *, {_any_path("kind = 'failpoint'")} AS path FROM found, (SELECT unnest(['amd64', 'arm64']) AS arch) a WHERE length(sha) = 40),
+stored AS (SELECT {_any_path("failpoint")} AS path
+           FROM (SELECT *, CASE WHEN product = 'tidb-lightning' THEN 'br' ELSE product END AS packed FROM image_versions) v)
+SELECT branch, product, kind, arch, repo, sha AS commit, path FROM paths p WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.path = p.path)
+UNION ALL SELECT branch, product, kind, NULL, repo, sha, NULL FROM found WHERE sha IS NULL OR length(sha) <> 40
 """)
 def nightly_pending_builds(t: Inputs):
-    """Branches of the farm -> matrix -> repository -> commit -> path -> what is not stored yet."""
+    """Branches of the farm -> matrix -> repository -> commit -> paths -> what is not stored yet.
+
+    Entries whose commit is none are returned as well, without arch and path.
+    """
     branches = t.view("branches").select("branch").distinct()
     entries = matrix.nightly_matrix(branches).withColumn(
         "repo", joins.effective_repo(F.col("product"), F.col("branch"), "nightly"))
     resolved = joins.resolve_commit(entries, t.view("heads"), F.col("seen"), ref="branch")
-    good, _ = filters.split_valid_commits(resolved, "commit")
+    good, bad = filters.split_valid_commits(resolved, "commit")
 
     def path(commit: str, failpoint):
         return artifacts.artifact_path(
             "nightly", product=F.col("product"), commit=F.col(commit), version=F.col("branch"),
-            arch=F.lit("amd64"), failpoint=failpoint).alias("path")
+            arch=F.col("arch"), failpoint=failpoint).alias("path")
 
-    requests = good.select(
-        "branch", "product", "kind", "repo", "commit", path("commit", F.col("kind") == "failpoint"),
-        F.lit(False).alias("force"))
-    stored = t.view("image_versions").filter("arch = 'amd64'").select(path("sha", False))
-    return joins.pending_builds(requests, stored, ["path"]).drop("force")
+    both = good.withColumn("arch", F.explode(F.array(F.lit("amd64"), F.lit("arm64"))))
+    requests = both.select(
+        "branch", "product", "kind", "arch", "repo", "commit",
+        path("commit", F.col("kind") == "failpoint"), F.lit(False).alias("force"))
+    stored = t.view("image_versions").select(path("sha", F.col("failpoint")))
+    pending = joins.pending_builds(requests, stored, ["path"]).drop("force")
+    none = F.lit(None).cast("string")
+    return pending.unionByName(bad.select(
+        "branch", "product", "kind", none.alias("arch"), "repo", "commit", none.alias("path")))
