@@ -17,8 +17,14 @@ SPACE = "[\\x20\\x09-\\x0D]"
 SLICE_ROWS, SLICE_BYTES = 2048, 8 << 20
 
 
+def ready(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches of the size that tasks work on."""
+    apply_settings(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", SLICE_ROWS)
+    return spark
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return apply_settings(spark).read.parquet(f"{folder}/{name}.parquet")
+    return ready(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def words(text: str | None) -> list[bytes]:
@@ -33,7 +39,7 @@ def remainder(doc_id: str, n: int):
 
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write a table below the shared folder and read it back: the lineage ends here."""
-    spark = df.sparkSession
+    spark = ready(df.sparkSession)
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

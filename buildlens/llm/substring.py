@@ -264,16 +264,19 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, stretch: int = STRETCH
 
     ``d`` is the id, ``t`` a hash of the text; ``spans`` are disjoint and sorted.
     """
-    rows = _anchor_rows(docs, window, stretch)
+    # Aggregates are stored before they are joined: a join on two plain shuffles is one whose
+    # hot keys adaptive execution splits.
+    rows = store(_anchor_rows(docs, window, stretch), "anchors")
     by_anchor = rows.groupBy("h").agg(
         F.min("d").alias("low"), F.max("d").alias("high"),
         (F.min("passage") == F.max("passage")).alias("alike"))
-    shared = by_anchor.filter(F.col("low") < F.col("high")).select("h", "low", "alike")
+    shared = store(
+        by_anchor.filter(F.col("low") < F.col("high")).select("h", "low", "alike"), "shared")
     live = store(
-        rows.join(shared, "h").filter(~F.col("alike") | (F.col("d") > F.col("low"))), "anchors")
+        rows.join(shared, "h").filter(~F.col("alike") | (F.col("d") > F.col("low"))), "live")
     span = (F.col("first").alias("start"), (F.col("first") + F.col("n") + window - 1).alias("stop"))
     various = live.filter(~F.col("alike"))
-    first_of = various.groupBy("h", "passage").agg(F.min("d").alias("d0"))
+    first_of = store(various.groupBy("h", "passage").agg(F.min("d").alias("d0")), "firsts")
     told = store(various.join(first_of, ["h", "passage"]).drop("alike", "low"), "passages")
     covered = live.filter("alike").select("d", "t", *span).union(
         told.filter(F.col("d") > F.col("d0")).select("d", "t", *span))
@@ -285,7 +288,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, stretch: int = STRETCH
         cold = open_.join(crowded, "h", "left_anti")
         alone = store(_passages(texts, open_.join(crowded, "h", "left_semi"), window, True)
                       .drop("text"), "windows")
-        least = alone.groupBy("h").agg(F.min("d").alias("d0"))
+        least = store(alone.groupBy("h").agg(F.min("d").alias("d0")), "least")
         covered = covered.union(
             alone.join(least, "h").filter(F.col("d") > F.col("d0"))
             .select("d", "t", F.col("first").alias("start"), (F.col("first") + window).alias("stop")))
