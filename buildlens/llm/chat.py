@@ -22,8 +22,9 @@ from buildlens.llm.common import record_batch, slices, store, table
 START, END = "<|im_start|>", "<|im_end|>"
 ASSISTANT = "assistant"
 EXTRA_ID, EXTRA_TEXT = -1, "<|im_end|><|im_start|>assistant ok"
-# A sequence begins anew at the next conversation once it has so many characters.
-SEQUENCE_CHARS = 1 << 18
+# A sequence begins anew at the next conversation once it has so many characters; a task
+# writes about so many.
+SEQUENCE_CHARS, TASK_CHARS = 1 << 18, 1 << 23
 
 _MARK = re.compile(r"<(\\*)\|")
 _MARKED = re.compile(r"<\\(\\*)\|")
@@ -157,7 +158,8 @@ def build_trees(formatted: DataFrame, sequence_chars: int = SEQUENCE_CHARS) -> D
     first = formatted.groupBy("leaf").agg(F.min(F.struct("conv_id")).alias("first"))
     distinct = formatted.join(first, "leaf").filter(F.col("conv_id").eqNullSafe(F.col("first.conv_id"))) \
         .select("path", "turns", "loss")
-    n = int(formatted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = F.aggregate("turns", F.lit(0).cast("long"), lambda a, t: a + F.length(t))
+    n = 1 + (formatted.agg(F.sum(size)).head()[0] or 0) // TASK_CHARS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32

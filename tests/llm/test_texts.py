@@ -47,14 +47,15 @@ def test_cleaning_of_odd_rows(odd, empty):
 def test_failing_lines_go_and_heavy_losers_with_them(spark):
     good = "This is a line of good prose that ends as it should."
     menu = "home | news | sport | about"
-    rows = [(1, f"{good}\n{menu}\n{good} And more."), (2, f"{menu} | {menu} | {menu}\n{good[:40]}"),
-            (3, f"{good}\nAll rights reserved.\n\n{good} Yes."), (4, f"{good} {' '.join('ab#%$ cd&&'.split() * 3)}"),
+    more = "Another sentence follows here, and it says something else again."
+    rows = [(1, f"{good}\n{menu}\n{more}"), (2, f"{menu} | {menu} | {menu}\n{good[:40]}"),
+            (3, f"{good}\nAll rights reserved.\n\n{more}"), (4, f"{good} {' '.join('ab#%$ cd&&'.split() * 3)}"),
             (5, " ".join(f"w{i}" for i in range(40)))]
     got = {r["input"]["doc_id"]: r for r in quality.clean_lines(
         spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1].kept and menu not in got[1].clean_text and good in got[1].clean_text
     assert not got[2].kept
-    assert got[3].kept and got[3].clean_text == f"{good}\n\n{good} Yes."
+    assert got[3].kept and got[3].clean_text == f"{good}\n\n{more}"
     assert not got[4].kept and not got[5].kept
     left = quality.cleaned(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in left) == [1, 3]
