@@ -62,6 +62,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+# Paths that were handed out, by application.
+_HANDED_OUT: dict[str, list[str]] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, until :func:`release_scratch`."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _HANDED_OUT.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Delete what this application wrote to scratch paths; how many there were.
+
+    For the owner of the session, once no DataFrame that reads them is needed any more.
+    """
+    paths = _HANDED_OUT.pop(spark.sparkContext.applicationId, [])
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for name in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)
