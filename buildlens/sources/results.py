@@ -46,12 +46,14 @@ def read_ci_results(
 
 def write_ci_results(
     tasks: DataFrame, runs: DataFrame, path: str, key: str = "run_id",
-    notifies: DataFrame | None = None, mode: str = "errorifexists",
+    notifies: DataFrame | None = None, mode: str = "errorifexists", crowd: int = 1_000_000,
 ) -> None:
     """A JSON array per run: its task rows, its run row, then its notify row if any.
 
-    The records of a run are adjacent lines of sorted files. Nothing is collected per
-    run: a run with very many tasks spans several files.
+    The records of a run are adjacent lines of sorted files, and its array is whole in one
+    file. Only the array of a run with more than ``crowd`` tasks spans several files, which
+    the layout ``lines`` reads and ``files`` refuses. Tasks of a key without a run row are
+    records without an array, for ``lines`` as well. Nothing is collected per run.
     """
     def record(df: DataFrame, names: list[str]) -> Column:
         fields = [F.col(n) for n in names if n in df.columns]
@@ -74,8 +76,16 @@ def write_ci_results(
     lines = task_lines.unionByName(frame)
     if notifies is not None:
         lines = lines.unionByName(line(notifies, 3, record(notifies, schemas.NOTIFY_RESULT_FIELDS)))
+    crowded = task_lines.groupBy("k").count().filter(F.col("count") > crowd) \
+        .select("k", F.ceil(F.col("count") / F.lit(crowd)).alias("parts"))
+    part = (
+        F.when(F.col("parts").isNull() | (F.col("p") == 0), 0)
+        .when(F.col("p") == 1, F.pmod(F.xxhash64("value"), "parts") + 1).otherwise(F.col("parts") + 1)
+    )
+    # Rows that agree in k and part are never dealt to different files.
     (
-        lines.repartitionByRange("k", "p", "value").sortWithinPartitions("k", "p", "value")
+        lines.join(crowded, "k", "left").withColumn("part", part)
+        .repartitionByRange("k", "part").sortWithinPartitions("k", "part", "p", "value")
         .select("value").write.mode(mode).text(path)
     )
 

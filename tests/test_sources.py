@@ -118,6 +118,31 @@ def test_written_results_are_one_array_per_run(spark, rows, tmp_path):
         assert all(r["type"] == "task" for r in a[:-2])
 
 
+@pytest.fixture
+def many_files(spark):
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.set(name, "true")
+
+
+def test_arrays_stay_in_one_file_but_for_crowded_runs(spark, rows, tmp_path, many_files):
+    tasks = rows([(i % 60, f"t{i}", "task") for i in range(1500)] + [(7, f"hot{i}", "task") for i in range(900)],
+                 "run_id int, name string, type string").repartition(8)
+    runs = rows([(i, f"r{i}", "TiPipeline") for i in range(60)], "run_id int, name string, type string")
+    for crowd, split in ((10_000, 0), (100, 1)):
+        out = tmp_path / f"out{crowd}"
+        results.write_ci_results(tasks, runs, str(out), crowd=crowd)
+        texts = [p.read_text() for p in sorted(out.glob("part-*.txt"))]
+        open_ended = sum(t.count("[\n") != t.count("]\n") for t in texts)
+        assert len(texts) > 2 and (open_ended > 0) == bool(split)
+        got, got_runs, _ = results.read_ci_results(spark, str(out), layout="lines")
+        assert got.count() == 2400 and got_runs.count() == 60
+        if not split:
+            got, got_runs, _ = results.read_ci_results(spark, str(out))
+            assert got.count() == 2400 and got_runs.count() == 60
+
+
 def test_subtasks(rows):
     df = rows([(1, '[{"status":"success"},{"x":1}]'), (2, ""), (3, None), (4, "[]")], "i int, description string")
     got = results.read_it_subtasks(df).collect()
