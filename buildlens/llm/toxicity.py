@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. Each sentence has a probability from a hashed linear model
-over its words and their character stretches, and the document is toxic unless every
+over its words and their beginnings, and the document is toxic unless every
 sentence is harmless: the sentences are combined by noisy-or. Labels exist for documents
 only; the gradient of the noisy-or passes them on to the sentences, which afterwards tell
 where the offence stands.
@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 
 from buildlens.llm.common import record_batch, remainder, slices, store, table
 
-# Bound of the sample that is learned from; it is dealt over PARTS tasks.
-SAMPLE, PARTS = 16_000, 6
+# Bound of the sample that is learned from; a task learns from at least so many rows of it.
+SAMPLE, PART = 16_000, 2_500
 BUCKETS = 1 << 18
-ROUNDS, EPOCHS, BATCH, RATE, DECAY = 3, 2, 32, 0.3, 1e-5
+ROUNDS, EPOCHS, BATCH, RATE, DECAY = 2, 6, 32, 0.3, 1e-5
 START = -6.0
 THRESHOLD, SPAN_THRESHOLD = 0.3, 0.3
 REMEMBERED = 300_000
@@ -40,15 +40,11 @@ _EDGES = ".,;:!?\"'()[]{}<>-"
 
 
 def features(word: str) -> np.ndarray:
-    """Buckets of a word: the word, its beginnings of four and five, its stretches of five."""
+    """Buckets of a word: the word and its beginnings of three to five characters."""
     word = word.strip(_EDGES).lower()
     if not word:
         return np.zeros(0, np.int64)
-    found = {f"w{word}"}
-    for n in (4, 5):
-        if len(word) > n:
-            found.add(f"p{word[:n]}")
-    found |= {f"s{word[i:i + 5]}" for i in range(1, len(word) - 5)}
+    found = {f"w{word}", *(f"p{word[:n]}" for n in (3, 4, 5) if len(word) > n)}
     return np.array(sorted(zlib.crc32(f.encode()) % BUCKETS for f in found), np.int64)
 
 
@@ -114,9 +110,12 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS) -> np.n
     spark = labelled.sparkSession
     w = np.zeros(BUCKETS + 1)
     w[BUCKETS] = START
+    parts = max(1, sample // PART)
     stored = store(labelled.filter(F.col("toxic").isNotNull())
                    .select("text", F.col("toxic").cast("int").alias("toxic"))
-                   .repartition(PARTS, F.xxhash64("text")), "toxicity")
+                   .repartition(parts), "toxicity")
+    # Files hold equal shares in any order of rows, so a few of them are a fair part.
+    parts = min(parts, max(1, stored.count() // PART))
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(w)
 
@@ -129,11 +128,11 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS) -> np.n
                 bags.learn(own, square, EPOCHS)
                 yield pa.RecordBatch.from_arrays([pa.array([(own - sent.value).tobytes()])], ["d"])
 
-        parts = [np.frombuffer(r.d) for r in
-                 stored.coalesce(PARTS).mapInArrow(run, "d binary").collect()]
-        if parts:
-            moved = sum((p != 0).astype(float) for p in parts)
-            w = w + sum(parts) / np.maximum(moved, 1)
+        moves = [np.frombuffer(r.d) for r in
+                 stored.coalesce(parts).mapInArrow(run, "d binary").collect()]
+        if moves:
+            moved = sum((m != 0).astype(float) for m in moves)
+            w = w + sum(moves) / np.maximum(moved, 1)
     return w
 
 
