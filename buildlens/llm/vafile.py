@@ -18,7 +18,7 @@ from buildlens.llm.common import table
 SCALE, K, EVERY = 64, 20, 20
 # Scaled components from here on take no part: their products could leave 64 bits.
 TOO_LARGE = 1 << 27
-CELL_BITS = 4
+CELL_BITS = 6
 # Vectors and queries of a cell, vectors scanned at a time, exact vectors read at a time.
 CELL_VECTORS, CELL_QUERIES, SCAN, READ = 65_536, 16_384, 8_192, 64
 QUERIES_AT_ONCE = 256
