@@ -14,13 +14,15 @@ from buildlens.llm.packing import op8_certified_packing
 from buildlens.llm.quality import OP7_SQL, op7_line_first_cleaning
 from buildlens.llm.simhash import op9_gray_simhash
 from buildlens.llm.substring import op5_suffix_automata
+from buildlens.llm.suffixarray import op11_prefix_intervals
 from buildlens.llm.toxicity import op1_sentence_toxicity
 from buildlens.llm.vafile import OP3_SQL, op3_va_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_sentence_toxicity, op2_compression_language, op3_va_file, op4_prefix_tree, op5_suffix_automata,
-        op6_simple8b, op7_line_first_cleaning, op8_certified_packing, op9_gray_simhash, op10_byte_bpe)
+        op6_simple8b, op7_line_first_cleaning, op8_certified_packing, op9_gray_simhash, op10_byte_bpe,
+        op11_prefix_intervals)
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_va_file": OP3_SQL, "op4_prefix_tree": OP4_SQL, "op7_line_first_cleaning": OP7_SQL,
