@@ -42,19 +42,21 @@ class SortedLists:
         # An anchor of noughts scores all rows alike: any list will do.
         if not len(up) + len(down):
             up = np.arange(min(1, self.up.shape[1]))
-        met = np.zeros(n, bool)
+        unmet = allowed.copy()
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in windows]
         open_ = list(range(len(windows)))
         depth = 0
-        while open_ and depth < n:
+        # With all rows met there is nothing left to bound.
+        while open_ and unmet.any():
             stop = min(depth + STEP, n)
+            here = np.zeros(n, bool)
             if len(up) + len(down):
-                rows = np.concatenate([self.up[depth:stop, up].ravel(), self.up[n - stop:n - depth, down].ravel()])
-                rows = np.unique(rows)
+                here[self.up[depth:stop, up]] = True
+                here[self.up[n - stop:n - depth, down]] = True
             else:
-                rows = np.arange(depth, stop)
-            rows = rows[~met[rows] & allowed[rows]]
-            met[rows] = True
+                here[depth:stop] = True
+            rows = np.flatnonzero(here & unmet)
+            unmet[rows] = False
             scores = self.exact[rows] @ anchor
             depth = stop
             bound = int(self.exact[self.up[depth - 1, up], up] @ anchor[up]
