@@ -1,10 +1,13 @@
 """Groups of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Two such sets share a shingle among the first ``n - ceil(0.8 n) + 1`` of each in any order
-that holds for all. Shingles that a sample shows to be common come last in it, so that few
-texts meet by them; the sample decides on the work only. Texts that meet are compared by
-their whole sets: neighbours by size first, then, where that left several groups, all
-pairs of different groups, both after sketches have excluded what cannot be alike. No pair that reaches the similarity is missed.
+Links are proposed twice and kept only where the whole sets are alike. First the Gray-order
+index over fingerprints of the five-word shingles gives spanning links between texts of
+nearly equal fingerprints. Then texts meet in buckets, one for each of 32 bands of six least
+hashes; two texts of similarity 0.8 share a bucket with a probability of 0.99994, more
+alike ones with a larger one, and texts that share a passage only rarely do. A bucket whose
+texts are of several groups so far proposes stars around its middle text, which alike texts
+join as members of one group, for some rounds. At last it proposes all pairs of different
+groups that their sketches do not exclude, so that nothing that meets is missed.
 """
 
 from __future__ import annotations
@@ -16,19 +19,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from buildlens.llm import simhash
 from buildlens.llm.common import record_batch, slices, store, words
 from buildlens.llm.graph import components
 from buildlens.llm.substring import _stretches
 
 SHINGLE = 5
-# Texts and common shingles of the sample, and pairs that a task makes at once.
-SAMPLE, COMMON, PAIRS = 8_000, 200_000, 1 << 18
+BANDS, LEAST = 32, 6
+# Rounds of stars, rows and pairs that a task handles at once, sets it remembers.
+ROUNDS, CHUNK, SETS = 3, 1 << 15, 256
 LAST = (1 << 63) - 1
 
-PREFIX = pa.schema([("h", pa.int64()), ("t", pa.int64()), ("n", pa.int32())])
-MET = pa.schema([("h", pa.int64()), ("t", pa.int64()), ("n", pa.int32()), ("after", pa.int64())])
+ROWS = pa.schema([("d", pa.int64()), ("x", pa.int64()), ("t", pa.int64()), ("n", pa.int32()),
+                  ("fp", pa.int64()), ("sketch", pa.binary()), ("keys", pa.binary())])
+MEETINGS = pa.schema([("h", pa.int64()), ("t", pa.int64())])
 LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-SKETCHES = pa.schema([("t", pa.int64()), ("n", pa.int32()), ("sketch", pa.binary())])
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -72,180 +77,249 @@ def may_be_alike(n: int, a: bytes, b: bytes) -> bool:
     return 9 * int(np.bitwise_count(a ^ b).sum()) <= n
 
 
-def _sketches(texts: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            sets = [shingles(t) for t in part.column(1).to_pylist()]
-            yield record_batch(SKETCHES, [part.column(0), [len(s) for s in sets], [sketch(s) for s in sets]])
+def fingerprint(found: np.ndarray) -> int:
+    """The signed 64 bits of a set of shingles; 0 if it is empty."""
+    count = np.zeros(64, np.int64)
+    for at in range(0, len(found), CHUNK):
+        part = found[at:at + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8)
+        count += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * count > len(found), bitorder="little").view("<i8")[0]) if len(found) else 0
 
-    return texts.mapInArrow(run, "t long, n int, sketch binary")
 
+def _factors(n: int) -> np.ndarray:
+    """Odd numbers, spread over 64 bits."""
+    out = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ out >> np.uint64(32) | np.uint64(1)
 
-def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The distinct pairs ``u, v`` that their sketches do not exclude."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            keep = [may_be_alike(*x) for x in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)))]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1)], schema=LINKS).filter(pa.array(keep, pa.bool_()))
 
-    left, right = (sketches.select(F.col("t").alias(c), F.col("n").alias(f"{c}_n"),
-                                   F.col("sketch").alias(f"{c}_sketch")) for c in "uv")
-    return pairs.distinct().join(left, "u").join(right, "v") \
-        .select("u", "v", (F.col("u_n") + F.col("v_n")).alias("n"), "u_sketch", "v_sketch") \
-        .mapInArrow(run, "u long, v long")
+FACTORS = _factors(BANDS * LEAST)
 
 
-def _prefix(found: np.ndarray, common: np.ndarray, count: np.ndarray) -> np.ndarray:
-    n = len(found)
-    if not n:
-        return np.zeros(1, np.uint64)  # where empty texts meet
-    if len(common):
-        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-        found = found[np.lexsort((found, np.where(common[at] == found, count[at], 0)))]
-    return found[:n - (4 * n + 4) // 5 + 1]
-
-
-def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several of the sampled texts have, sorted, and in how many."""
-    n = texts.count()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            sets = [shingles(t) for t in part.column(1).to_pylist()]
-            got = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(got)], ["h"])
-
-    few = texts.filter(F.pmod(F.xxhash64("t"), F.lit(max(1, n // SAMPLE))) == 0).dropDuplicates(["t"])
-    got = few.mapInArrow(run, "h long").groupBy("h").count().filter("count > 2") \
-        .orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
-    common = got["h"].to_numpy().view(np.uint64)
-    order = np.argsort(common)
-    return common[order], got["count"].to_numpy()[order]
+def band_keys(found: np.ndarray) -> np.ndarray:
+    """A hash for each band: of the least of the set under each of its hash functions."""
+    least = np.full(len(FACTORS), ~np.uint64(0))
+    for at in range(0, len(found), CHUNK // 64):
+        part = found[at:at + CHUNK // 64, None] * FACTORS
+        part ^= part >> np.uint64(31)
+        least = np.minimum(least, (part * np.uint64(0x94D049BB133111EB)).min(0))
+    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, LEAST).T:
+        out = (out ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return out
 
 
-def _meetings(texts: DataFrame) -> DataFrame:
-    """``h, t, n, after`` of texts that share ``h`` among their first shingles.
+def _sets(docs: DataFrame) -> DataFrame:
+    """``d, x, t, n, fp, sketch, keys`` of every row.
 
-    ``n`` is the size of the set, ``after`` the next text by size if it may be alike.
+    The id (a null one is the last), a hash of the text, a hash of its set of shingles, and
+    what the set amounts to; that is null where the task has told it of an equal text.
     """
-    common, count = _common(texts)
+    import xxhash
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}
         for part in slices(batches):
-            keys, nodes, sizes = [np.zeros(0, np.uint64)], [], []
-            for t, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                if t not in seen:
-                    seen.add(t)
-                    found = shingles(text)
-                    keys.append(_prefix(found, common, count))
-                    nodes.append(t)
-                    sizes.append(len(found))
-            times = [len(k) for k in keys[1:]]
-            yield record_batch(PREFIX, [
-                pa.array(np.concatenate(keys).view(np.int64)),
-                pa.array(np.repeat(np.array(nodes, np.int64), times)),
-                pa.array(np.repeat(np.array(sizes, np.int32), times))])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = list(batches)
-        if not got:
-            return
-        got = pa.Table.from_batches(got)
-        h, t, n = (got[c].to_numpy() for c in ("h", "t", "n"))
-        order = np.lexsort((t, n, h))
-        h, t, n = h[order], t[order], n[order]
-        new = np.r_[True, (h[1:] != h[:-1]) | (t[1:] != t[:-1])]
-        h, t, n = h[new], t[new], n[new]
-        same = np.r_[h[1:] == h[:-1], False]
-        keep = same | np.r_[False, same[:-1]]
-        near = same & (5 * n.astype(np.int64) >= 4 * np.r_[n[1:], 0].astype(np.int64))
-        after = pa.array(np.r_[t[1:], 0], mask=~near)
-        out = pa.RecordBatch.from_arrays([pa.array(h), pa.array(t), pa.array(n), after], schema=MET)
-        yield out.filter(pa.array(keep))
-
-    return texts.mapInArrow(first, "h long, t long, n int").repartition("h") \
-        .mapInArrow(meet, "h long, t long, n int, after long")
-
-
-def _across(met: DataFrame, root: DataFrame) -> DataFrame:
-    """``u, v``: all pairs of fitting size that share a shingle and are of different roots."""
-    rooted = met.join(root, met.t == root.node, "left") \
-        .select("h", "t", "n", F.coalesce("root", "t").alias("r"))
-    several = rooted.groupBy("h").agg(F.min("r").alias("a"), F.max("r").alias("b")) \
-        .filter("a < b").select("h")
+            rows = []
+            for d, x, text in zip(*(part.column(i).to_pylist() for i in range(3))):
+                if x in seen:
+                    rows.append((d, x, seen[x], None, None, None, None))
+                    continue
+                found = shingles(text)
+                t = xxhash.xxh3_64_intdigest(found.tobytes())
+                seen[x] = t = t - (1 << 64) if t > LAST else t
+                rows.append((d, x, t, len(found), fingerprint(found), sketch(found), band_keys(found).tobytes()))
+            yield record_batch(ROWS, list(map(list, zip(*rows))) if rows else [[] for _ in ROWS])
+
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"),
+                       F.xxhash64("text").alias("x"), "text") \
+        .mapInArrow(run, "d long, x long, t long, n int, fp long, sketch binary, keys binary")
+
+
+def _meetings(sets: DataFrame) -> DataFrame:
+    """``h, t`` of texts that share the bucket ``h`` with others."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            keys = np.frombuffer(b"".join(part.column(1).to_pylist()), np.int64)
+            yield record_batch(MEETINGS, [pa.array(keys), pa.array(np.repeat(part.column(0).to_numpy(), BANDS))])
+
+    rows = store(sets.filter("n > 0").select("t", "keys").mapInArrow(run, "h long, t long"), "bands")
+    several = rows.groupBy("h").agg(F.min("t").alias("a"), F.max("t").alias("b")).filter("a < b").select("h")
+    return rows.join(store(several, "several"), "h")
+
+
+def _fold(rows: np.ndarray, size: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(rows.reshape(len(rows), -1, size), 1)
+
+
+class Bucket:
+    """The texts of a bucket: names, sizes, groups so far, sketches."""
+
+    def __init__(self, t: list, n: list, root: list, sketches: list):
+        order = sorted(range(len(t)), key=lambda i: (n[i], t[i]))
+        self.t = np.array([t[i] for i in order], np.int64)
+        self.n = np.array([n[i] for i in order], np.int64)
+        self.root = np.array([root[i] for i in order], np.int64)
+        # Larger sets have longer sketches, so equal lengths are adjacent.
+        data = [sketches[i] for i in order]
+        self.size = np.array([len(s) for s in data])
+        self.by_size = {}
+        for size in np.unique(self.size).tolist():
+            at = np.flatnonzero(self.size == size)
+            self.by_size[size] = (int(at[0]), np.frombuffer(b"".join(data[at[0]:at[-1] + 1]), np.uint8).reshape(-1, size))
+
+    def near(self, i: int) -> np.ndarray:
+        """Which texts may be alike to the one at place ``i``, by size and sketch."""
+        out = np.zeros(len(self.t), bool)
+        own = int(self.size[i])
+        start, rows = self.by_size[own]
+        mine = rows[i - start]
+        lo = np.searchsorted(5 * self.n, 4 * self.n[i], "left")
+        hi = np.searchsorted(4 * self.n, 5 * self.n[i], "right")
+        for size, (start, rows) in self.by_size.items():
+            a, b = max(lo - start, 0), min(hi - start, len(rows))
+            low = min(size, own)
+            for at in range(a, b, CHUNK):
+                part = rows[at:min(at + CHUNK, b)]
+                odd = np.bitwise_count(_fold(part, low) ^ _fold(mine[None], low)).sum(1, dtype=np.int64)
+                out[start + at:start + at + len(part)] = 9 * odd <= self.n[start + at:start + at + len(part)] + self.n[i]
+        return out
+
+    def middle(self, left: np.ndarray) -> int:
+        """The text nearest to what most of the sketches of those left have in common."""
+        size = int(self.size[left].min())
+        rows = np.concatenate([_fold(r[left[s:s + len(r)]], size) for s, r in self.by_size.values()])
+        count = np.zeros(8 * size, np.int64)
+        for at in range(0, len(rows), CHUNK):
+            count += np.unpackbits(rows[at:at + CHUNK], axis=1).sum(0, dtype=np.int64)
+        most = np.packbits(2 * count > len(rows))
+        return int(np.flatnonzero(left)[np.bitwise_count(rows ^ most).sum(1, dtype=np.int64).argmin()])
+
+    def stars(self) -> Iterator[tuple[int, np.ndarray]]:
+        """A middle text and those of other groups that may be alike to it, until all were in a star."""
+        left = np.ones(len(self.t), bool)
+        while left.any():
+            i = self.middle(left)
+            near = self.near(i) & left
+            near[i] = True
+            left &= ~near
+            yield i, np.flatnonzero(near & (self.root != self.root[i]))
+
+    def pairs(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each text and those behind it, of other groups, that may be alike to it."""
+        for i in range(len(self.t) - 1):
+            near = self.near(i)
+            near[:i + 1] = False
+            yield i, np.flatnonzero(near & (self.root != self.root[i]))
+
+
+def _proposed(met: DataFrame, sets: DataFrame, root: DataFrame, stars: bool) -> DataFrame:
+    """``u, v``: distinct pairs that buckets with texts of several groups propose."""
+    # Buckets of one group have nothing left to say; the others are few.
+    named = store(met.join(root, met.t == root.node, "left").select("h", "t", F.coalesce("root", "t").alias("r")), "rooted")
+    open_ = store(named.groupBy("h").agg(F.min("r").alias("a"), F.max("r").alias("b"))
+                  .filter("a < b").select("h"), "open")
+    rows = named.join(open_, "h").join(sets, "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = list(batches)
-        if not got:
-            return
-        got = pa.Table.from_batches(got)
-        h, t, n, r = (got[c].to_numpy() for c in ("h", "t", "n", "r"))
-        order = np.lexsort((t, n, h))
-        h, t, n, r = h[order], t[order], n[order].astype(np.int64), r[order]
-        start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        for a, b in zip(start.tolist(), np.r_[start[1:], len(h)].tolist()):
-            # Behind each text those of the same shingle that are not too large.
-            stop = a + np.searchsorted(4 * n[a:b], 5 * n[a:b], "right")
-            many = stop - np.arange(a, b) - 1
-            total, at = np.cumsum(many), a
-            while at < b:
-                done = total[at - a - 1] if at > a else 0
-                to = max(at + 1, a + int(np.searchsorted(total, done + PAIRS, "right")))
-                k = many[at - a:to - a]
-                one = np.repeat(np.arange(at, to), k)
-                two = one + 1 + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-                apart = r[one] != r[two]
-                one, two = t[one[apart]], t[two[apart]]
-                yield record_batch(LINKS, [pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))])
-                at = to
-
-    return rooted.join(several, "h", "left_semi").repartition("h").mapInArrow(run, "u long, v long")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, sketches: DataFrame) -> DataFrame:
+        def proposals(rows: list[tuple]) -> list[tuple]:
+            bucket = Bucket(*zip(*rows))
+            out = []
+            for i, others in bucket.stars() if stars else bucket.pairs():
+                own = int(bucket.t[i])
+                out += [(min(own, t), max(own, t)) for t in bucket.t[others].tolist()]
+            return out
+
+        at, rows = None, {}
+        for part in slices(batches):
+            pairs = []
+            for h, t, *row in zip(*(c.to_pylist() for c in part.columns)):
+                if h != at:
+                    if len(rows) > 1:
+                        pairs += proposals([(t, *r) for t, r in rows.items()])
+                    at, rows = h, {}
+                rows[t] = (row[0], row[1], row[2])
+            if pairs:
+                yield record_batch(LINKS, list(map(list, zip(*pairs))))
+        if len(rows) > 1 and (pairs := proposals([(t, *r) for t, r in rows.items()])):
+            yield record_batch(LINKS, list(map(list, zip(*pairs))))
+
+    return rows.select("h", "t", "n", "r", "sketch").repartition("h").sortWithinPartitions("h") \
+        .mapInArrow(run, "u long, v long").distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs ``u, v`` whose texts are alike."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, np.ndarray] = {}
+
+        def of(t: int, text: str) -> np.ndarray:
+            if t not in kept:
+                if len(kept) >= SETS or sum(map(len, kept.values())) > 1 << 22:
+                    kept.clear()
+                kept[t] = shingles(text)
+            return kept[t]
+
         for part in slices(batches):
-            keep = [alike(shingles(a), shingles(b)) for a, b in
-                    zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+            keep = [alike(of(v, b), of(u, a)) for u, v, a, b in zip(*(part.column(i).to_pylist() for i in range(4)))]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1)], schema=LINKS).filter(pa.array(keep, pa.bool_()))
 
     left, right = (texts.select(F.col("t").alias(c), F.col("text").alias(f"{c}_text")) for c in "uv")
-    return store(_possible(pairs, sketches), "possible").join(left, "u").join(right, "v") \
+    return pairs.join(left, "u").join(right, "v") \
         .select("u", "v", "u_text", "v_text").mapInArrow(run, "u long, v long")
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """``t, d, root``: of each text its hash, its least id (a null id is the last) and its group."""
-    keyed = docs.select(F.xxhash64("text").alias("t"),
-                        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), "text")
-    least = store(keyed.groupBy("t").agg(F.min("d").alias("d")), "least")
-    met = store(_meetings(keyed.select("t", "text")), "met")
-    need = met.select("t").distinct().join(least, "t")
-    texts = store(keyed.join(need, ["t", "d"], "left_semi").dropDuplicates(["t", "d"]).select("t", "text"), "texts")
-    sketches = store(_sketches(texts), "sketches")
-    near = store(_verified(met.filter("after IS NOT NULL").select(
-        F.least("t", "after").alias("u"), F.greatest("t", "after").alias("v")), texts, sketches), "near")
-    root = store(components(near), "roots")
-    far = store(_verified(_across(met, root), texts, sketches), "far")
-    if far.head(1):
-        root = store(components(near.union(far)), "roots")
-    return least.join(root, least.t == root.node, "left") \
-        .select("t", "d", F.coalesce("root", "t").alias("root"))
+def _by_fingerprint(sets: DataFrame) -> DataFrame:
+    """``u, v``: spanning pairs of texts whose fingerprints are linked by the Gray-order index."""
+    first = store(sets.groupBy("fp").agg(F.min("t").alias("first")), "fingerprints")
+    same = sets.join(first, "fp").filter("t > first").select(F.col("first").alias("u"), F.col("t").alias("v"))
+    a, b = (first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_t")) for c in "uv")
+    near = simhash.near_links(first.select("fp")).join(a, "u").join(b, "v") \
+        .select(F.least("u_t", "v_t").alias("u"), F.greatest("u_t", "v_t").alias("v"))
+    return near.union(same).distinct()
+
+
+def groups(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """``d, x, root`` of every row: its id (a null one is the last), a hash of its text, its group.
+
+    The group of texts that are reached over links is named by one of them. Texts with equal
+    sets of shingles are one, so those without words are one group; repeated rows share it.
+    """
+    rows = store(_sets(docs), "sets")
+    sets = store(
+        rows.filter("keys IS NOT NULL").groupBy("t").agg(F.min(F.struct("d", "x", "n", "fp", "sketch", "keys")).alias("s"))
+        .select("t", "s.*"), "different")
+    met = store(_meetings(sets), "met")
+    first = store(_by_fingerprint(sets), "proposed")
+    need = store(met.select("t").union(first.select("u")).union(first.select("v")).distinct()
+                 .join(sets, "t").select("t", "d", "x"), "needed")
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"),
+                        F.xxhash64("text").alias("x"), "text")
+    texts = store(keyed.join(need, ["d", "x"]).select("t", "text").dropDuplicates(["t"]), "texts")
+    met_sets = store(sets.join(met.select("t").distinct(), "t").select("t", "n", "sketch"), "sketches")
+    links = store(_verified(first, texts), "links")
+    tested, root = first, store(components(links), "roots")
+    for k in range(rounds + 1):
+        pairs = store(_proposed(met, met_sets, root, k < rounds).join(tested, ["u", "v"], "left_anti"), "proposed")
+        found = store(_verified(pairs, texts), "links")
+        links, tested = links.union(found), tested.union(pairs)
+        if found.head(1):
+            root = store(components(links), "roots")
+    return rows.join(root, rows.t == root.node, "left").select("d", "x", F.coalesce("root", "t").alias("root"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of each group over links of texts that are alike: that of the smallest id.
+    """One row of each group of alike texts, with all its columns: that of the smallest id.
 
     Texts without words are one group. A null id comes after all others; of rows with the
     same id that of the smaller text hash, and of equal ids and texts one, stays.
     """
-    first = groups(docs).groupBy("root").agg(F.min(F.struct("d", "t")).alias("first"))
+    first = groups(docs).groupBy("root").agg(F.min(F.struct("d", "x")).alias("first"))
     keyed = docs.select(F.struct("*").alias("row"),
                         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"),
-                        F.xxhash64("text").alias("t"))
-    return keyed.join(first.select("first.d", "first.t"), ["d", "t"], "left_semi") \
-        .dropDuplicates(["d", "t"]).select("row.*")
+                        F.xxhash64("text").alias("x"))
+    return keyed.join(first.select("first.d", "first.x"), ["d", "x"], "left_semi") \
+        .dropDuplicates(["d", "x"]).select("row.*")

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from buildlens.llm import alike, simhash
 from tests.llm.conftest import ODD, prose
@@ -56,16 +58,47 @@ def test_stage_finds_copies_with_a_few_words_changed(spark):
     assert simhash.one_of_each(docs).count() > len(got)
 
 
-def test_all_pairs_of_groups_in_small_steps(spark, monkeypatch):
-    monkeypatch.setattr(alike, "PAIRS", 3)
-    monkeypatch.setattr(alike, "COMMON", 5)
-    rows = planted()
-    met = alike._meetings(spark.createDataFrame(rows, "t long, text string"))
-    none = spark.createDataFrame([], "node long, root long")
-    texts = spark.createDataFrame(rows, "t long, text string")
-    got = {tuple(r) for r in alike._verified(alike._across(met, none), texts, alike._sketches(texts)).collect()}
-    sets = [alike.shingles(t) for _, t in rows]
-    assert got == {(j, i) for i in range(len(rows)) for j in range(i) if alike.alike(sets[i], sets[j])}
+def test_large_group_of_near_copies_by_stars(spark):
+    """Copies of one text, each edited: few are alike to each other, most to the middle."""
+    rng, rows = random.Random(3), []
+    base = " ".join(f"w{rng.randint(0, 5000)}" for _ in range(300))
+    rows += [edited(rng, base, rng.choice([3, 4, 5, 6])) for _ in range(150)]
+    rows += [" ".join(f"w{rng.randint(0, 5000)}" for _ in range(280)) for _ in range(50)]
+    rows = [(i, t) for i, t in enumerate(rows)] + [(7, rows[7])] * 300 + [(None, rows[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r.doc_id for r in alike.one_of_each(docs).collect())
+    assert got == slow_firsts(rows)
+
+
+def test_buckets_propose_what_may_be_alike():
+    sets = [alike.shingles(t) for _, t in planted()]
+    bucket = alike.Bucket(list(range(len(sets))), [len(s) for s in sets], list(range(len(sets))),
+                          [alike.sketch(s) for s in sets])
+    got = {(int(bucket.t[i]), t) for i, o in bucket.pairs() for t in bucket.t[o].tolist()}
+    want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and alike.alike(a, b)}
+    assert want <= got | {(b, a) for a, b in got}
+    # Stars reach every text once, and no text is far from its middle.
+    centres = [(i, o) for i, o in bucket.stars()]
+    assert sum(1 + len(o) for _, o in centres) == len(sets)
+    assert all(alike.may_be_alike(len(sets[bucket.t[i]]) + len(sets[bucket.t[j]]), alike.sketch(sets[bucket.t[i]]),
+                                  alike.sketch(sets[bucket.t[j]])) for i, o in centres for j in o.tolist())
+
+
+def test_alike_texts_share_a_bucket():
+    """Recall of the bands, and of the whole operator on the given texts (below)."""
+    rng, met, n = random.Random(6), 0, 300
+    for _ in range(n):
+        words = [f"w{rng.randint(0, 10 ** 6)}" for _ in range(200)]
+        a = np.unique(np.array([rng.getrandbits(64) for _ in words], np.uint64))
+        b = np.unique(np.r_[a[:178], np.array([rng.getrandbits(64) for _ in range(22)], np.uint64)])
+        met += bool(set(alike.band_keys(a).tolist()) & set(alike.band_keys(b).tolist()))
+    assert met >= n - 1
+
+
+def test_recall_on_the_given_texts(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    assert sorted(r.doc_id for r in alike.one_of_each(docs).collect()) == slow_firsts(rows)
 
 
 def test_alike_odd_rows(odd, empty):

@@ -104,10 +104,9 @@ def test_components_of_paths_and_stars(spark):
 def test_one_of_each_keeps_whole_rows(odd, empty):
     got = simhash.one_of_each(odd)
     assert got.schema == odd.schema
-    want = {}
-    for i, f, c in slow_components([(i, slow_fingerprint(t)) for i, t in ODD]):
-        want.setdefault(c, []).append(i)
-    assert sorted(r.doc_id for r in got.collect()) == sorted(want)
+    # The components are held against brute force above; several may have one smallest id.
+    least = {r.root: r.component_id for r in simhash.near_duplicates(odd).collect()}
+    same([r.doc_id for r in got.collect()], least.values())
     assert simhash.one_of_each(empty).count() == 0
 
 
@@ -178,3 +177,16 @@ def test_matching_statistics():
         want = [max(n for n in range(end + 1) if n == 0 or tuple(text[end - n:end]) in stretches)
                 for end in range(1, len(text) + 1)]
         assert automaton.matching_statistics(text) == want
+
+
+def test_one_row_repeated_many_times(spark):
+    """A list of its passages is made once, and no copy meets the list of another."""
+    base = prose(1, 300).split()
+    rows = [(5, " ".join(base))] * 800 + [(k, " ".join(base[:100 + k] + ["x"] + base[100 + k:])) for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring.remove_repeats(docs)
+    same((tuple(r)[:4] for r in got.collect()), slow_removal(rows, 50))
+    texts = substring._text_rows(docs)
+    wanted = spark.createDataFrame([(1, *r, 0, 10) for r in texts.select("d", "t").collect()],
+                                   "h long, d long, t long, first int, n int")
+    assert substring._passages(texts, wanted, 50, False).count() == 6
