@@ -46,7 +46,11 @@ def store(df: DataFrame, name: str) -> DataFrame:
 
 
 def per_task(key, make: Callable[[], object]) -> object:
-    """``make()``, once per Python worker and key: vocabularies are costly to load."""
+    """``make()``, once per Python worker and key: vocabularies are costly to load.
+
+    Functions reach the workers by value, each with globals of its own, so what is to last
+    longer than one of them is kept in a module that every worker has.
+    """
     kept = sys.__dict__.setdefault("_buildlens_llm", {})
     if key not in kept:
         kept[key] = make()

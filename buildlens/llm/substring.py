@@ -13,7 +13,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buildlens.llm.common import record_batch, slices, store, table, words
+from buildlens.llm.common import per_task, record_batch, slices, store, table, words
 
 WINDOW, STRETCH = 50, 10
 # Different passages of an anchor beyond which its windows are counted instead.
@@ -34,7 +33,6 @@ ANCHORS = pa.schema([(n, pa.int64()) for n in ("h", "passage", "d", "t")]
 _BASE = 0x9E3779B97F4A7C15
 
 
-@lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     def of(base: int) -> np.ndarray:
         out = np.full(n, base, np.uint64)
@@ -46,7 +44,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _stretches(hashes: np.ndarray, k: int) -> np.ndarray:
     """A hash of each stretch of ``k`` words."""
-    up, down = _powers(1 << max(12, len(hashes).bit_length()))
+    n = 1 << max(12, len(hashes).bit_length())
+    up, down = per_task(("powers", n), lambda: _powers(n))
     sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * up[:len(hashes)])])
     out = (sums[k:] - sums[:-k]) * down[:len(hashes) - k + 1]
     out ^= out >> np.uint64(31)
@@ -226,8 +225,10 @@ def _passages(texts: DataFrame, wanted: DataFrame, window: int, single: bool) ->
                             column.append(value)
             yield record_batch(schema, out)
 
-    lists = wanted.groupBy("d", "t").agg(F.collect_list(F.struct("h", "first", "n")).alias("rows"))
-    return texts.join(lists, ["d", "t"]).select("d", "t", "z", "rows") \
+    # One text and one list for all repeats of a row: what they hold is found once.
+    lists = wanted.dropDuplicates(["d", "t", "h", "first"]).groupBy("d", "t") \
+        .agg(F.collect_list(F.struct("h", "first", "n")).alias("rows"))
+    return texts.dropDuplicates(["d", "t"]).join(lists, ["d", "t"]).select("d", "t", "z", "rows") \
         .mapInArrow(run, "h long, d long, t long, first int, text binary")
 
 
