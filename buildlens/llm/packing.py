@@ -150,7 +150,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY,
         # One group has nobody to exchange with, and a round that closed little was the last.
         last = groups == 1 or r == rounds - 1 or (before is not None and n > 0.9 * before)
         packed = store(
-            rest.withColumn("g", F.pmod(number, F.lit(groups)))
+            rest.withColumn("g", F.pmod(F.xxhash64(number), F.lit(groups)))
             .groupBy("g").applyInArrow(_pack_group(r, last, capacity), PACKED_DDL), f"packed-{r}")
         done.append(packed.filter(~F.col("open")).drop("open"))
         if last:

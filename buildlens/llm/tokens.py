@@ -62,12 +62,17 @@ class WordEncoder:
     """Encodes whole texts word by word.
 
     ``split`` cuts a string into the pieces that are merged separately, and
-    ``encode(pieces) -> [bytes]`` gives the ids of each.
+    ``encode(pieces) -> [bytes]`` gives the ids of each. ``added`` are tokens that stand for a
+    string wherever it is; what is between them is encoded by itself.
     """
 
     def __init__(self, split: Callable[[str], list[str]],
-                 encode: Callable[[list[str]], list[bytes]], limit: int = REMEMBERED):
+                 encode: Callable[[list[str]], list[bytes]], limit: int = REMEMBERED,
+                 added: dict[str, int] | None = None):
         self.split, self.encode = split, encode
+        self.added = {s: np.uint32(i).tobytes() for s, i in (added or {}).items()}
+        self.at_added = re.compile("(" + "|".join(
+            re.escape(s) for s in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.pieces, self.words = Remembered(limit), Remembered(limit // 8)
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
@@ -80,6 +85,17 @@ class WordEncoder:
         ids = iter(self._pieces([p for c in cut for p in c]))
         return [b"".join(islice(ids, len(c))) for c in cut]
 
+    def _whole(self, text: str) -> bytes:
+        """The ids of a text that is cut only at added tokens and where no white space is near."""
+        out = []
+        for i, part in enumerate(self.at_added.split(text) if self.added else [text]):
+            if i % 2:
+                out.append(self.added[part])
+            else:
+                head, *rest = _CUT.split(part)
+                out += self._strings([head, *(" " + r for r in rest)])
+        return b"".join(out)
+
     def _words(self, words: list[str]) -> list[bytes | None]:
         """Ids of other words with a space before them; None where white space is at an end."""
         missing = [w for w in self.words.missing(words) if not _odd(w)]
@@ -125,12 +141,13 @@ class WordEncoder:
             flag = flag[codes]
             flag[first] = False
             bad |= np.add.reduceat(flag, first) > 0
+        for s in self.added:
+            bad |= pc.fill_null(pc.match_substring(texts, s), False).to_numpy(zero_copy_only=False)
         for t in np.flatnonzero(bad).tolist():
-            # The text is cut only where no white space is near; all its ids stand first.
-            head, *rest = _CUT.split(texts[t].as_py())
+            # All ids of such a text stand first.
             pairs[first[t]:stops[t]] = 0
             pairs[first[t], 0] = head_at + t
-            ids[head_at + t] = b"".join(self._strings([head, *(" " + r for r in rest)]))
+            ids[head_at + t] = self._whole(texts[t].as_py())
         n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat, at = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(n) - n
         each = n[pairs].ravel()
@@ -140,7 +157,7 @@ class WordEncoder:
 
 
 def library_encoder(vocabulary: str) -> WordEncoder:
-    """An encoder by the ``tokenizers`` library; strings of special tokens are plain text."""
+    """An encoder by the ``tokenizers`` library, with the added tokens of its vocabulary."""
     def make() -> WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
@@ -148,7 +165,9 @@ def library_encoder(vocabulary: str) -> WordEncoder:
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_str(vocabulary)
-        library.encode_special_tokens = True
+        added = library.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
+            raise ValueError("added tokens that look at what is around them")
         split = regex.compile(public_tokenizers.PATTERN).findall
 
         merge, mapped = library.model.tokenize, str.maketrans(
@@ -158,7 +177,7 @@ def library_encoder(vocabulary: str) -> WordEncoder:
             return [array("I", [t.id for t in merge(p.encode().decode("latin-1").translate(mapped))])
                     .tobytes() for p in pieces]
 
-        return WordEncoder(split, encode)
+        return WordEncoder(split, encode, added={t.content: i for i, t in added.items()})
 
     return per_task(("tokenizers", hashlib.sha256(vocabulary.encode()).digest()), make)
 

@@ -21,7 +21,6 @@ from tests.llm.conftest import ODD
 
 JSON, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
 LIBRARY = Tokenizer.from_file(JSON)
-LIBRARY.encode_special_tokens = True
 TIKTOKEN = tiktoken.Encoding(
     "own", pat_str=P.PATTERN, special_tokens={},
     mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))})
@@ -49,6 +48,16 @@ def test_words_encode_as_whole_texts(texts):
     assert many(own, texts) == [library_ids(t) for t in texts]
 
 
+def test_added_tokens_stand_wherever_they_are():
+    own = tokens.library_encoder(tokens.vocabulary_text(JSON))
+    rng = random.Random(5)
+    parts = ["a", "the", " ", "  ", "\n", "é", "ing", "1", ".", "<|endoftext|>", "<|endoftext|", "<|", "|>"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(1000)]
+    texts += ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> ", " <|endoftext|>x"]
+    assert many(own, texts) == [library_ids(t) for t in texts]
+    assert 50256 in many(own, ["a <|endoftext|> b"])[0]
+
+
 def test_sentencepiece_model_encodes_as_the_ranks(codec):
     rng = random.Random(2)
     parts = ["a", "the", " ", "  ", "\n", "é", "ing", "1", ".", "'s", "中", "𝒳", "<|endoftext|>", "\x1c"]
