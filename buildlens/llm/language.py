@@ -42,13 +42,14 @@ def fit(labelled: DataFrame, texts: int = TEXTS, chars: int = CHARS,
     """
     usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(_HAS_LETTER)) \
         .select("lang", "text", F.xxhash64("text").alias("h"))
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n")) \
+    # Different texts, since copies count once: a language that is mostly copies is learned too.
+    counts = usable.groupBy("lang").agg(F.approx_count_distinct("h", 0.03).alias("n")) \
         .orderBy(F.desc("n"), "lang").limit(languages).collect()
     if not counts:
         return {}
     # Four times as many as wanted pass, so that enough are left where the hash is uneven.
     share = F.create_map(*(x for r in counts for x in
-                           (F.lit(r.lang), F.lit(min(1.0, 4 * texts / r.n)))))
+                           (F.lit(r.lang), F.lit(min(1.0, 4 * texts / max(1, r.n))))))
     unit = F.pmod(F.shiftrightunsigned("h", 11), F.lit(1 << 53)) / F.lit(float(1 << 53))
     at = F.pmod("h", F.greatest(F.length("text") - chars, F.lit(1))).cast("int") + 1
     rows = (

@@ -16,9 +16,16 @@ SYMBOLS = "#*$%&|<>"
 BOILERPLATE = (
     "all rights reserved|cookie policy|cookies? consent|accept (all )?cookies|privacy policy|"
     "terms of (use|service)|click here|subscribe to|sign up for|enable javascript|lorem ipsum|"
-    "share this|read more"
+    "share this|read more|"
+    "tous droits réservés|politique de confidentialité|accepter les cookies|cliquez ici|"
+    "alle rechte vorbehalten|datenschutzerklärung|cookies akzeptieren|hier klicken|"
+    "todos los derechos reservados|política de (privacidad|cookies)|aceptar (las )?cookies|haga clic aquí"
 )
-SENTENCE_MARK = "[.!?…。！？]"
+# Marks that end sentences, in Latin, Greek, Cyrillic, Chinese and Japanese, Indic, Arabic, Urdu,
+# Ethiopic, Armenian, Khmer, Burmese and Tibetan texts; Thai and Lao have none.
+SENTENCE_MARK = (
+    "[.!?\u2026\u3002\uff01\uff1f\u037e\u0964\u0965\u061f\u06d4\u1362\u1367\u1368\u055e\u0589\u17d4\u17d5"
+    "\u104a\u104b\u0f0d\u0f0e\u0e00-\u0eff]")
 # Separators that make a line a menu, words of a short line, words of a line that needs a mark.
 MENU, SHORT, LONG = 3, 20, 30
 MAX_LOSS = 0.5

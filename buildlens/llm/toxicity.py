@@ -23,6 +23,8 @@ from buildlens.llm.common import record_batch, remainder, slices, store, table
 
 # Bound of the sample that is learned from; a task learns from at least so many rows of it.
 SAMPLE, PART = 16_000, 2_500
+# Longer texts are scored like all others, but not learned from.
+TEACHING_CHARS = 1 << 20
 BUCKETS = 1 << 18
 ROUNDS, EPOCHS, BATCH, RATE, DECAY = 2, 6, 32, 0.3, 1e-5
 START = -6.0
@@ -180,15 +182,20 @@ def score_documents(docs: DataFrame, w: np.ndarray) -> DataFrame:
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Texts and labels of at most ``sample`` labelled ids that are not held out.
 
-    Ids are chosen by hash; an id with several labels is toxic if one of them is.
+    Ids are chosen by hash; an id with several labels is toxic if one of them is, and of an
+    id with several texts one counts. Texts over ``TEACHING_CHARS`` are not learned from, so
+    the sample is bounded in rows and in bytes.
     """
     chosen = (
         labels.filter(F.col("toxic").isNotNull() & (remainder("doc_id", 4) != 2))
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.join(F.broadcast(chosen), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text") \
+        .filter(F.coalesce(F.length("text"), F.lit(0)) <= TEACHING_CHARS)
+    # The sample is small, so repeated rows of its ids meet as one row each.
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id") \
+        .agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
 
 
 def op1_sentence_toxicity(spark: SparkSession, folder: str) -> DataFrame:

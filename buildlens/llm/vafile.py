@@ -14,10 +14,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from buildlens.llm.common import table
+from buildlens.llm.integers import check_sizes, floors, usable
 
 SCALE, K, EVERY = 64, 20, 20
-# Scaled components from here on take no part: their products could leave 64 bits.
-TOO_LARGE = 1 << 27
 CELL_BITS = 6
 # Vectors and queries of a cell, vectors scanned at a time, exact vectors read at a time.
 CELL_VECTORS, CELL_QUERIES, SCAN, READ = 65_536, 16_384, 8_192, 64
@@ -27,13 +26,10 @@ DDL = "query_id long, query long, vec_id long, score long"
 
 def whole_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """``vec_id, v, dim``: floor(scale * x) of every usable vector."""
-    x = F.transform("embedding", lambda c: F.floor(c.cast("double") * scale))
-    usable = F.forall(
-        "embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double") * scale) < TOO_LARGE))
-    return (
-        vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & usable)
-        .select(F.col("vec_id").cast("long"), x.alias("v"), F.size("embedding").alias("dim"))
-    )
+    good = vectors.filter(F.col("vec_id").isNotNull() & usable("embedding"))
+    check_sizes(good, "embedding", scale, 2)
+    return good.select(F.col("vec_id").cast("long"), floors("embedding", scale).alias("v"),
+                       F.size("embedding").alias("dim"))
 
 
 class Cell:
@@ -98,10 +94,10 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCA
     """``query_id, rank, vec_id, score``: the k best of all other rows for each query row.
 
     Queries are the rows whose id is divisible by ``every``. Ties go to the smaller id. Rows
-    with the query's id are its own and no candidates. Vectors that are null, hold a null or
-    non-finite component or one whose scaled size reaches ``TOO_LARGE``, and rows without an
-    id take no part; vectors of other lengths are not compared. Repeated rows stand as
-    candidates each by themselves, and repeated query rows are asked once.
+    with the query's id are its own and no candidates. Vectors that are null or hold a null or
+    non-finite component, and rows without an id take no part; vectors of other lengths are
+    not compared. Repeated rows stand as candidates each by themselves, and repeated query
+    rows are asked once. Components whose scores could leave 64 bits raise an OverflowError.
 
     The grid of cells is the stated set of queries against all rows: vectors are copied to
     each group of queries and queries to each group of vectors, both of bounded size.
@@ -156,8 +152,7 @@ WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x)
-                                        OR abs({SCALE} * x::DOUBLE) >= {TOO_LARGE})) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
          list_inner_product(q.v, c.v)::BIGINT AS score

@@ -35,9 +35,10 @@ def test_nearest_of_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (20, [1.0, None]), (40, [nan, 1.0]), (60, [inf, 1.0]), (80, None), (None, [1.0, 1.0]),
             (1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [-5.0, 0.01]), (100, [1.0]), (5, [2.0]), (120, []),
-            (0, [1.0, 2.0]), (7, [1.0, 2.0]), (7, [1.0, 2.0]), (140, [1e30, 1.0])]
+            (0, [1.0, 2.0]), (7, [1.0, 2.0]), (7, [1.0, 2.0]), (140, [3e5, -4e6])]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, v int, score int")
-    want = slow_nearest([r for r in rows if r[0] != 140], 4, 20)
-    assert sorted(map(tuple, vafile.nearest(df, k=4).collect())) == want
+    assert sorted(map(tuple, vafile.nearest(df, k=4).collect())) == slow_nearest(rows, 4, 20)
+    with pytest.raises(OverflowError):
+        vafile.nearest(spark.createDataFrame([(1, [1e30])], "vec_id long, embedding array<double>"))
     assert vafile.nearest(df.limit(0)).count() == 0
     assert vafile.nearest(df.filter("vec_id = 1")).count() == 0

@@ -198,3 +198,100 @@ def test_shared_turns_stand_once_with_positions_and_ancestors(spark):
             assert "".join(chat.format_turn(*x) for x in chat.parse(whole)) == whole
         ends = [n.start for n in t.nodes[1:]] + [len(t.text)]
         assert [n.stop for n in t.nodes] == ends
+
+
+def test_language_against_a_plain_loop(spark):
+    """Every document of the table, compressed by hand."""
+    import zstandard as z
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = language.fit(language.learnable(docs))
+    assert sorted(model) == sorted(r.lang for r in docs.select("lang").dropna().distinct().collect())
+    got = {r.doc_id: (r.lang_pred, r.score) for r in QUERIES["op2_compression_language"](spark, folder).collect()}
+    for doc_id, text in docs.select("doc_id", "text").collect():
+        if not any(c.isalpha() for c in text or ""):
+            assert got[doc_id] == ("und", 0.0)
+            continue
+        data = text.encode()
+        sizes = []
+        for lang, content in sorted(model.items()):
+            own = z.ZstdCompressor(level=language.LEVEL, write_content_size=False, write_dict_id=False,
+                                   dict_data=z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT))
+            sizes.append((sum(len(own.compress(data[i:i + language.BLOCK]))
+                              for i in range(0, len(data), language.BLOCK)), lang))
+        (best, lang), (second, _) = sorted(sizes)[:2]
+        assert got[doc_id] == (lang, pytest.approx(1 - best / second))
+
+
+def test_language_that_is_mostly_copies_is_learned(spark):
+    rng = random.Random(2)
+    texts = {"xx": [" ".join(rng.choices(["kalo", "milo", "loka", "kami"], k=30)) for _ in range(40)],
+             "yy": [" ".join(rng.choices(["strafen", "gurten", "fengur"], k=30)) for _ in range(40)]}
+    rows = [(t, "xx") for t in texts["xx"]] + [(t, "yy") for t in texts["yy"]] + [(texts["yy"][0], "yy")] * 5000
+    model = language.fit(spark.createDataFrame(rows, "text string, lang string"), texts=10)
+    assert all(len(m.decode().split("\n")) == 10 for m in model.values())
+    assert language.Classifier(model).classify(texts["yy"][5])[0] == "yy"
+
+
+def test_toxicity_against_plain_python(spark):
+    """Scores of the table by the formula, and one step of learning by finite differences."""
+    folder = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    w = toxicity.fit(toxicity.labelled_sample(docs, labels)).astype(np.float32)
+
+    def slow(text, w):
+        clean = 1.0
+        for sentence in re.split("[.!?\n]+", text or ""):
+            if sentence.strip():
+                found = {b for word in sentence.split() for b in toxicity.features(word).tolist()}
+                clean *= 1 - 1 / (1 + np.exp(-(w[toxicity.BUCKETS] + sum(float(w[b]) for b in sorted(found)))))
+        return 1 - clean
+
+    rows = docs.select("doc_id", "text").collect()
+    got = {r.doc_id: r.score for r in toxicity.score_documents(docs, w).collect()}
+    exact = w.astype(float)
+    # A word's buckets add up word by word in a score, so a bucket that two words share counts twice.
+    close = [abs(got[i] - slow(t, exact)) < 0.02 for i, t in rows]
+    assert np.mean(close) > 0.9 and len(got) == len(rows)
+
+    rows = [("the stone fell. a mild day", 0), ("the grumble fool fell", 1), ("mild. grumble. day", 1)]
+    start = np.zeros(toxicity.BUCKETS + 1)
+    start[toxicity.BUCKETS] = -1.0
+
+    def loss(w):
+        return sum(-np.log(slow(t, w) if label else 1 - slow(t, w)) for t, label in rows) / len(rows)
+
+    w, square = start.copy(), np.full(len(start), 1e9)
+    toxicity.Bags(rows).learn(w, square, 1)
+    moved = np.flatnonzero(w != start)
+    for b in moved.tolist():
+        up, down = start.copy(), start.copy()
+        up[b] += 1e-5
+        down[b] -= 1e-5
+        slope = (loss(up) - loss(down)) / 2e-5
+        # A step against the slope, of RATE by the root of the squares so far.
+        assert (w[b] - start[b]) * np.sqrt(1e9) / toxicity.RATE == pytest.approx(-slope, rel=1e-3, abs=2e-5)
+    assert len(moved) > 10
+
+
+def test_toxicity_sample_has_one_row_for_an_id(spark):
+    docs = spark.createDataFrame([(3, f"text {i % 7}") for i in range(500)] + [(4, "x" * (toxicity.TEACHING_CHARS + 1)), (5, None)],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3, 6)] + [(3, 0)], "doc_id long, toxic int")
+    from zlib import crc32
+    learned = {i for i in (3, 5) if crc32(str(i).encode()) % 4 != 2}
+    got = toxicity.labelled_sample(docs, labels).collect()
+    assert len(got) == len(learned) and {r.doc_id for r in got} == learned
+
+
+def test_lines_in_other_scripts_need_their_own_marks(spark):
+    words = {"\u0964": "\u0928\u092e\u0938\u094d\u0924\u0947", "\u061f": "\u0645\u0631\u062d\u0628\u0627",
+             "\u1362": "\u1230\u120b\u121d", "\u0589": "\u0562\u0561\u0580\u0587", "": "\u0e2a\u0e27\u0e31\u0e2a\u0e14\u0e35"}
+    rows = [(i, " ".join(f"{w}{k}" for k in range(40)) + mark) for i, (mark, w) in enumerate(words.items())]
+    rows += [(9, " ".join(f"word{k}" for k in range(40)))]
+    rows += [(10, "Une bonne phrase de dix mots qui finit bien ici toujours.\nTous droits r\u00e9serv\u00e9s")]
+    got = {r["input"]["doc_id"]: (r.kept, r.clean_text) for r in quality.clean_lines(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i][0] for i in range(5)] == [True] * 5 and not got[9][0]
+    assert got[10][0] and "droits" not in got[10][1]

@@ -154,12 +154,3 @@ def test_search_ends_early_where_it_may():
     lists.exact = Exact()
     (rows, scores), = lists.best(np.array([100, 1]), np.ones(4000, bool), [(threshold.LEAST, threshold.MOST)], 3)
     assert rows.tolist() == [3999, 3998, 3997] and sum(met) < 400
-
-
-def test_queries(spark, folder):
-    from tests.compare import differences, duck
-    from buildlens.llm.queries import ORACLE_SQL, QUERIES
-
-    con = duck(folder)
-    for name in ("op3_va_file", "op12_norm_of_sum_codes", "op13_threshold_negatives"):
-        assert not differences(QUERIES[name](spark, folder), con, ORACLE_SQL[name])
