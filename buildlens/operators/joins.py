@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from buildlens import fixed
@@ -123,6 +123,38 @@ def effective_repo(product: Column, ref: Column, flow: str) -> Column:
     return out
 
 
+def moved_repo(
+    requests: DataFrame, moves: DataFrame, product: str = "product", ref: str = "ref", out: str = "repo",
+) -> DataFrame:
+    """:func:`effective_repo` with a table of moves of any size.
+
+    ``moves`` is (product, from_ref, to_ref, repo): the product is built from ``repo`` at refs
+    from ``from_ref`` up to, but not at, ``to_ref``; null is no limit. Of the moves of a product
+    the last one that begins at or before the ref decides, of equal beginnings the greatest
+    repository; where it has ended, and without a move, the product is its own repository. Refs
+    compare as text; a null ref is not moved.
+
+    The boundaries and the distinct refs of a product form one line, along which the last
+    boundary is carried, so no ref is compared with a move.
+    """
+    begin = F.struct(F.col("to_ref").alias("to"), F.col("repo").alias("repo"))
+    boundaries = moves.filter(F.col("product").isNotNull() & F.col("repo").isNotNull()).select(
+        F.col("product").alias("__product"), F.coalesce("from_ref", F.lit("")).alias("__ref"), "repo", "to_ref",
+    ).groupBy("__product", "__ref").agg(F.max_by(begin, F.struct("repo", F.coalesce("to_ref", F.lit("")))).alias("__move"))
+    asked = requests.select(F.col(product).alias("__product"), F.col(ref).alias("__ref")).dropna().distinct()
+    line = boundaries.withColumn("__asked", F.lit(0)).unionByName(
+        asked.withColumn("__asked", F.lit(1)), allowMissingColumns=True)
+    so_far = Window.partitionBy("__product").orderBy("__ref", "__asked") \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = line.withColumn("__last", F.last("__move", ignorenulls=True).over(so_far)).filter("__asked = 1")
+    open_ = F.col("__last.to").isNull() | (F.col("__ref") < F.col("__last.to"))
+    found = last.filter(F.col("__last").isNotNull() & open_).select(
+        "__product", "__ref", F.col("__last.repo").alias("__repo"))
+    same = (F.col(product) == F.col("__product")) & (F.col(ref) == F.col("__ref"))
+    return requests.join(found, same, "left").withColumn("__repo", F.coalesce("__repo", product)) \
+        .drop("__product", "__ref", *([out] if out in requests.columns else [])).withColumnRenamed("__repo", out)
+
+
 def expected_binaries(images: DataFrame, product: str = "product", tag: str = "tag") -> DataFrame:
     """One row per binary the image must hold; products not listed give none."""
     p, t = F.col(product), F.col(tag)
@@ -207,11 +239,11 @@ def patch_targets(builds: DataFrame, product: str = "product") -> DataFrame:
     return builds.filter(p.isin(*fixed.PATCHED_PRODUCTS)).withColumn("patch_binaries", binaries)
 
 
-def last_matching_rule(
+def host_label(
     product: Column, arch: Column, os: Column,
     rules: list[tuple[list[str], str, str, str]] = fixed.HOST_RULES,
 ) -> Column:
-    """Label of the last rule that matches; empty fields of a rule match everything."""
+    """Label of the last of a handful of fixed rules that matches, as an expression."""
     out = F.lit(None).cast("string")
     for products, rule_arch, rule_os, label in rules:
         match = F.lit(True)
@@ -225,6 +257,50 @@ def last_matching_rule(
     return out
 
 
+def last_matching_rule(
+    requests: DataFrame, rules: DataFrame, fields: dict[str, str] = {"product": "products", "arch": "arch", "os": "os"},
+    number: str = "rule_no", label: str = "label", out: str = "host",
+) -> DataFrame:
+    """``requests`` with the label of the last rule that matches, null where none does.
+
+    ``rules`` is a table of any size: a field of a request must equal that of the rule, or be
+    in it if it is a list; an empty or null field of a rule matches everything, also null. Of
+    the rules that match the one with the greatest ``number`` counts, of equal numbers the
+    greatest label. Rules without a number match nothing.
+
+    Rules that leave the same fields open form a mask, in which a request has one key. The
+    distinct field values of the requests are looked up once for each mask there may be, all
+    by one equi-join with the last rule of each key, so no rule is compared with a request.
+    """
+    names = list(fields)
+    # A key has a text for each field it holds, and null for each one it leaves open.
+    keys = rules.filter(F.col(number).isNotNull())
+    for f in names:
+        of = keys.schema[fields[f]].dataType
+        if of.typeName() == "array":
+            given = F.filter(F.col(fields[f]), lambda x: x.isNotNull() & (x != ""))
+            keys = keys.withColumn(f"__{f}", F.explode_outer(given))
+        else:
+            keys = keys.withColumn(f"__{f}", F.nullif(F.col(fields[f]).cast("string"), F.lit("")))
+    keys = keys.select(*[F.col(f"__{f}").alias(f) for f in names], F.struct(number, label).alias("__rule")) \
+        .groupBy(*names).agg(F.max("__rule").alias("__rule"))
+    asked = requests.select(*[F.col(f).cast("string").alias(f) for f in names]).distinct()
+    masks = F.array(*(
+        F.struct(*(F.when(F.lit(bool(m >> i & 1)), F.col(f)).alias(f) for i, f in enumerate(names)),
+                 F.lit(m).alias("m"))
+        for m in range(1 << len(names))))
+    looked = asked.select(*[F.col(f).alias(f"__a_{f}") for f in names], F.explode(masks).alias("k"))
+    # A request without a value has no key in the masks that ask for it.
+    looked = looked.filter(_all([
+        (F.col("k.m").bitwiseAND(F.lit(1 << i)) == 0) | F.col(f"__a_{f}").isNotNull() for i, f in enumerate(names)]))
+    same = _all([F.col(f"k.{f}").eqNullSafe(F.col(f"r.{f}")) for f in names])
+    found = looked.join(keys.alias("r"), same).groupBy(*[f"__a_{f}" for f in names]).agg(
+        F.max("__rule").alias("__rule"))
+    match = _all([F.col(f"q.{f}").cast("string").eqNullSafe(F.col(f"a.__a_{f}")) for f in names])
+    return requests.alias("q").join(found.alias("a"), match, "left") \
+        .select("q.*", F.col(f"a.__rule.{label}").alias(out))
+
+
 def lint_config_present(
     repos: DataFrame, listing: DataFrame, default: str = "default", repo: str = "repo"
 ) -> DataFrame:

@@ -98,6 +98,46 @@ def first_plan(
         .select(*query, "__row.*")
 
 
+def _grams(text: Column) -> Column:
+    """The distinct stretches of three characters, or the whole of a shorter text."""
+    last = F.greatest(F.length(text) - 3, F.lit(0))
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(text, i + 1, F.lit(3))))
+
+
+def search_first_plan(
+    queries: DataFrame, plans: DataFrame, query: str = "query", name: str = "name", order: list[str] = ["plan_id"],
+) -> DataFrame:
+    """First plan whose name contains the query, for each row of ``queries``; no plan, no row.
+
+    The answer to a name search for very many queries and plans. Names are filed by their
+    stretches of three characters. Each distinct query looks under its rarest stretch only, and
+    what it finds there is tested for the whole query, so no query is compared with every name.
+    Queries of one or two characters are looked for among the beginnings and insides of those
+    stretches. Equal names are one, with their first plan. A null or empty query finds nothing.
+    """
+    rest = [c for c in plans.columns if c not in {*order, name}]
+    row = F.struct(*order, *rest)
+    named = plans.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("__name")).agg(
+        F.min_by(row, F.struct(*order)).alias("__plan"))
+    asked = queries.select(F.col(query).alias("__query")).filter(F.length(query) > 0).distinct()
+    filed = named.select("__name", F.explode(_grams(F.col("__name"))).alias("__gram"))
+    count = filed.groupBy("__gram").agg(F.count("*").alias("__n"))
+    # A short query is part of the stretches that contain it.
+    long = asked.filter(F.length("__query") >= 3).select("__query", F.explode(_grams(F.col("__query"))).alias("__gram"))
+    looked = long.join(count, "__gram", "left").groupBy("__query").agg(
+        F.min_by("__gram", F.struct(F.coalesce("__n", F.lit(0)), F.col("__gram"))).alias("__gram"))
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), F.length("__gram")), lambda i: F.transform(
+        F.sequence(F.lit(1), F.lit(2)), lambda n: F.substring(F.col("__gram"), i, n))))
+    short = count.select("__gram", F.explode(F.array_distinct(parts)).alias("__query")) \
+        .join(asked, "__query", "left_semi").select("__query", "__gram")
+    found = looked.unionByName(short).join(filed, "__gram") \
+        .filter(F.contains("__name", "__query")).join(named, "__name").groupBy("__query").agg(
+        F.min_by(F.struct(F.col("__name").alias(name), "__plan"), F.struct(*[f"__plan.{c}" for c in order], "__name"))
+        .alias("__found"))
+    return queries.join(found, F.col(query) == F.col("__query")) \
+        .select(*queries.columns, f"__found.{name}", "__found.__plan.*")
+
+
 def distinct_sorted_tags(df: DataFrame, col: str = "tag") -> DataFrame:
     """Distinct values in byte order."""
     return df.select(col).distinct().orderBy(col)

@@ -88,6 +88,20 @@ def effective_repo(t: Inputs):
 _DM = "CASE WHEN product = 'tics' AND failpoint THEN 'dm' ELSE product END"
 
 
+@query("j6_moves_table", """
+WITH moves AS (SELECT product, from_ref, max(concat(to_ref, '|', repo)) AS m FROM (
+  SELECT product, tag AS from_ref, concat(tag, CASE CAST(artifact_id % 3 AS INT) WHEN 0 THEN '' ELSE '.5' END) AS to_ref, concat('moved-', product) AS repo FROM artifacts) x GROUP BY 1, 2)
+SELECT b.run_id, CASE WHEN b.tag < split_part(m.m, '|', 1) THEN split_part(m.m, '|', 2) ELSE b.product END AS repo
+FROM branches b ASOF LEFT JOIN moves m ON b.product = m.product AND b.tag >= m.from_ref
+""")
+def moves_table(t: Inputs):
+    end = F.concat(F.col("tag"), F.when(F.col("artifact_id") % 3 == 0, "").otherwise(".5"))
+    moves = t.view("artifacts").select(
+        "product", F.col("tag").alias("from_ref"), end.alias("to_ref"), F.concat(F.lit("moved-"), "product").alias("repo"))
+    requests = t.view("branches").select("run_id", "product", F.col("tag").alias("ref"))
+    return joins.moved_repo(requests, moves).select("run_id", "repo")
+
+
 @query("j7_expected_binaries", f"""
 WITH images AS (SELECT artifact_id, {_DM} AS product, tag FROM image_versions),
 listed AS (SELECT *, CASE product WHEN 'pd' THEN ['/pd-server'] WHEN 'tikv' THEN ['/tikv-server'] WHEN 'tidb' THEN ['/tidb-server']
@@ -165,7 +179,32 @@ GROUP BY 1
 def last_matching_rule(t: Inputs):
     os = F.when(F.col("artifact_id") % 3 == 0, "darwin").otherwise("linux")
     return t.view("artifacts").select(
-        "artifact_id", joins.last_matching_rule(F.col("product"), F.col("arch"), os).alias("host"))
+        "artifact_id", joins.host_label(F.col("product"), F.col("arch"), os).alias("host"))
+
+
+@query("j12_rules_table", """
+WITH rules AS (SELECT c_custkey AS rule_no, c_name AS label, CASE CAST(c_nationkey % 5 AS INT) WHEN 0 THEN [] WHEN 1 THEN ['tikv', 'pd'] WHEN 2 THEN ['tidb'] WHEN 3 THEN ['tics', 'br', 'ticdc'] END AS products,
+  CASE c_mktsegment WHEN 'BUILDING' THEN 'arm64' WHEN 'MACHINERY' THEN 'amd64' WHEN 'FURNITURE' THEN '' END AS arch,
+  CASE CAST(c_custkey % 7 AS INT) WHEN 0 THEN '' WHEN 1 THEN 'darwin' WHEN 2 THEN 'plan9' ELSE 'linux' END AS os FROM customer WHERE c_acctbal < 0),
+builds AS (SELECT artifact_id, product, arch, CASE WHEN artifact_id % 3 = 0 THEN 'darwin' WHEN artifact_id % 7 <> 0 THEN 'linux' END AS os FROM artifacts)
+SELECT b.artifact_id, arg_max(r.label, r.rule_no) AS host FROM builds b LEFT JOIN rules r
+  ON (coalesce(len(r.products), 0) = 0 OR list_contains(r.products, b.product)) AND (coalesce(r.arch, '') = '' OR r.arch = b.arch) AND (r.os = '' OR r.os = b.os)
+GROUP BY 1
+""")
+def rules_table(t: Inputs):
+    none = F.array().cast("array<string>")
+    nation, key = F.col("c_nationkey") % 5, F.col("c_custkey") % 7
+    rules = t.table("customer").filter("c_acctbal < 0").select(
+        F.col("c_custkey").alias("rule_no"), F.col("c_name").alias("label"),
+        F.when(nation == 0, none).when(nation == 1, F.array(F.lit("tikv"), F.lit("pd")))
+        .when(nation == 2, F.array(F.lit("tidb")))
+        .when(nation == 3, F.array(F.lit("tics"), F.lit("br"), F.lit("ticdc"))).alias("products"),
+        F.when(F.col("c_mktsegment") == "BUILDING", "arm64").when(F.col("c_mktsegment") == "MACHINERY", "amd64")
+        .when(F.col("c_mktsegment") == "FURNITURE", "").alias("arch"),
+        F.when(key == 0, "").when(key == 1, "darwin").when(key == 2, "plan9").otherwise("linux").alias("os"))
+    os = F.when(F.col("artifact_id") % 3 == 0, "darwin").when(F.col("artifact_id") % 7 != 0, "linux")
+    builds = t.view("artifacts").select("artifact_id", "product", "arch", os.alias("os"))
+    return joins.last_matching_rule(builds, rules).select("artifact_id", "host")
 
 
 @query("j13_lint_config_present", """

@@ -238,6 +238,20 @@ def first_plan(t: Inputs):
     return windows.first_plan(t.view("plan_status"), ["exec_id"], ["event_id"])
 
 
+@query("l2_search_first_plan", """
+WITH plans AS (SELECT run_id AS plan_id, concat(product, '-', branch, '-', author) AS name FROM branches),
+queries AS (SELECT DISTINCT author AS query FROM ci_runs UNION SELECT 'd' UNION SELECT 'b-' UNION SELECT 'no such plan'),
+found AS (SELECT q.query, min(p.plan_id) AS plan_id FROM queries q JOIN plans p ON contains(p.name, q.query) GROUP BY 1)
+SELECT f.query, f.plan_id, p.name FROM found f JOIN plans p ON p.plan_id = f.plan_id
+""")
+def search_first_plan(t: Inputs):
+    plans = t.view("branches").select(
+        F.col("run_id").alias("plan_id"), F.concat_ws("-", "product", "branch", "author").alias("name"))
+    queries = t.view("ci_runs").select(F.col("author").alias("query")).union(
+        t.spark.range(1).select(F.explode(F.array(F.lit("d"), F.lit("b-"), F.lit("no such plan"))))).distinct()
+    return windows.search_first_plan(queries, plans).select("query", "plan_id", "name")
+
+
 @query("u1_union_images", """
 WITH names AS (SELECT artifact_id, product AS image_product, branch FROM image_versions
                UNION ALL SELECT artifact_id, 'tiflash', branch FROM image_versions WHERE product = 'tics')

@@ -217,7 +217,7 @@ def test_last_rule_wins(rows):
     df = rows([("tikv", "amd64", "linux"), ("tics", "arm64", "linux"), ("tidb", "arm64", "linux"),
                ("pd", "arm64", "linux"), ("tics", "arm64", "darwin"), ("br", "amd64", "darwin"),
                ("br", "amd64", "linux")], "p string, a string, o string")
-    host = joins.last_matching_rule(F.col("p"), F.col("a"), F.col("o"))
+    host = joins.host_label(F.col("p"), F.col("a"), F.col("o"))
     assert values(df.select(host.alias("h")), "h") == [
         "build", "tiflash_build_arm", "go", "arm", "mac-arm-tiflash", "mac", "go"]
 

@@ -140,3 +140,83 @@ def test_pieces_hold_few_rows_in_a_burst(rows, step):
         F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b")).orderBy("__piece").collect()
     assert sum(p.n for p in pieces) == n + 1000 and max(p.n for p in pieces) <= 2 * crowd
     assert all(x.b < y.a for x, y in zip(pieces, pieces[1:]))
+
+
+@pytest.mark.parametrize("crowd", [3, 10**6], ids=["crowded", "roomy"])
+def test_inputs_are_scanned_twice_at_most(spark, rows, tmp_path, crowd):
+    """Once for the histogram, which is stored, and once in the plan; request times come back by a join."""
+    r = random.Random(9)
+    rows([(key(r), moment(r), moment(r), i, r.choice("xy")) for i in range(200)],
+         "k string, ts timestamp, b timestamp, n int, v string").write.parquet(str(tmp_path / "one"))
+    rows([(key(r), moment(r), f"s{i}") for i in range(50)], "k string, ts timestamp, sha string") \
+        .write.parquet(str(tmp_path / "two"))
+    one, two = (spark.read.parquet(str(tmp_path / n)) for n in ("one", "two"))
+
+    def scans(df, name):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return plan.count(f"{tmp_path}/{name}]")
+
+    assert scans(windows.status_transitions(one, ["k"], "ts", ["n"], "v", crowd=crowd), "one") == 0
+    assert scans(windows.parallel_load(one, ["k"], "ts", "b", crowd=crowd), "one") == 1
+    asof = joins.resolve_commit_asof(one, two, ["k"], "ts", crowd=crowd)
+    assert scans(asof, "one") == 2 and scans(asof, "two") == 1
+
+
+def test_rules_as_a_table(rows):
+    r = random.Random(10)
+    rules = [(i, r.choice([[], None, ["a"], ["a", "b"], ["c", ""], [""]]), r.choice(["", None, "arm", "amd"]),
+              r.choice(["", "linux", "mac"]), f"l{i}") for i in r.sample(range(100), 12)]
+    rules += [(None, [], "", "", "never"), (rules[0][0], [], "", "", "a tie")]
+    asked = [(i, r.choice("abcd") if i % 9 else None, r.choice(["arm", "amd", "x", None]), r.choice(["linux", "mac", ""]))
+             for i in range(200)]
+
+    def match(rule, product, arch, os):
+        number, products, a, o, _ = rule
+        products = [p for p in products or [] if p]
+        return number is not None and (not products or product in products) and \
+            (not a or a == arch) and (not o or o == os)
+
+    requests = rows([(*a, "x") for a in asked] * 2, "id int, product string, arch string, os string, label string")
+    table = rows(rules, "rule_no int, products array<string>, arch string, os string, label string")
+    got = joins.last_matching_rule(requests, table)
+    assert got.columns == [*requests.columns, "host"] and got.count() == 400
+    want = {i: max(((x[0], x[4]) for x in rules if match(x, p, a, o)), default=(0, None))[1] for i, p, a, o in asked}
+    assert {x.id: x.host for x in got.collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert {x.host for x in joins.last_matching_rule(requests, table.limit(0)).collect()} == {None}
+
+
+def test_moves_as_a_table(rows):
+    r = random.Random(12)
+    refs = [f"release-{r.randrange(9)}.{r.randrange(9)}" for _ in range(30)] + ["master", ""]
+    moves = [(r.choice("abc"), r.choice([None, *refs]), r.choice([None, None, *refs]), f"r{i}") for i in range(25)]
+    moves += [(None, None, None, "never"), ("a", "master", None, None)]
+    asked = [(i, r.choice(["a", "b", "c", "d", None]), r.choice([None, *refs])) for i in range(300)]
+    got = joins.moved_repo(rows(asked, "id int, product string, ref string"),
+                           rows(moves, "product string, from_ref string, to_ref string, repo string"))
+    want = {}
+    for i, p, ref in asked:
+        begun = [((m[1] or ""), m[3], m[2]) for m in moves if m[0] == p and p and m[3] and ref is not None and (m[1] or "") <= ref]
+        last = max(begun, key=lambda m: (m[0], m[1], m[2] or ""), default=None)
+        want[i] = last[1] if last and (last[2] is None or ref < last[2]) else p
+    assert {x.id: x.repo for x in got.collect()} == want and got.columns == ["id", "product", "ref", "repo"]
+    assert "moved" not in str(want) and len({*want.values()}) > 8
+
+
+def test_name_search(rows):
+    r = random.Random(13)
+    names = ["".join(r.choice("abc é") for _ in range(r.randrange(0, 9))) for _ in range(150)] + ["aaaa"] * 20 + [None]
+    plans = [(i, n, f"p{i}") for i, n in enumerate(names)]
+    queries = ["".join(r.choice("abc é") for _ in range(r.randrange(0, 6))) for _ in range(120)] + [None, "zzz", "ab", "ab"]
+    got = windows.search_first_plan(rows([(q, i) for i, q in enumerate(queries)], "query string, i int"),
+                                    rows(plans, "plan_id int, name string, owner string"))
+    want = {}
+    for i, q in enumerate(queries):
+        hits = [p for p in plans if q and p[1] is not None and q in p[1]]
+        if hits:
+            want[i] = min(hits)
+    assert {x.i: (x.plan_id, x.name, x.owner) for x in got.collect()} == want
+    assert got.columns == ["query", "i", "name", "plan_id", "owner"] and len(want) > 60
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

@@ -11,7 +11,7 @@ from buildlens.plans import catalog
 
 # Queries that read what they wrote, or run a stream, do their work when called.
 EAGER = {"s1_run_specs", "s2_legacy_tasks", "s4_ci_results", "s6_junit", "s7_cobertura",
-         "s11_cyclo_log", "s13_written_results", "s14_facts"}
+         "s11_cyclo_log", "s13_written_results", "s14_facts", "s15_stored_checksums"}
 LAZY = [n for n in catalog.names() if n not in EAGER and not n.startswith("t")]
 PYTHON = {"v1_run_checker"}
 
@@ -31,7 +31,7 @@ def test_no_cross_joins_and_no_python(spark, folder, name):
 def test_row_work_needs_no_shuffle(spark, folder, family):
     """Expressions and matrices add no exchange to the one the attempts view has."""
     shuffling = {"p24_times", "f8_known_task_types", "f8_dropped_task_types", "x1_prerelease_matrix",
-                 "x2_nightly_matrix", "x3_tiup_matrix", "x7_missed_runs", "failed_runs"}
+                 "x2_nightly_matrix", "x3_tiup_matrix", "x7_missed_runs", "failed_runs", "j12_rules_table"}
     for name in LAZY:
         if name.startswith(family) and name not in shuffling:
             assert plan_of(catalog.run(name, spark, folder)).count("Exchange") <= 1, name
@@ -85,3 +85,8 @@ def test_site_values_are_parameters(rows):
     df = rows([("tikv",), ("tiem",), ("tidb",)], "r string")
     got = [r[0] for r in df.select(refs.git_remote(F.col("r"), site)).collect()]
     assert got == ["git@host:tikv/tikv.git", "git@host:oi/tiem.git", "git@host:o/tidb.git"]
+
+
+def test_a_version_key_is_computed_once(spark, folder):
+    plan = plan_of(catalog.run("f4_version_gate", spark, folder))
+    assert plan.count("lambdafunction") <= 2, plan
