@@ -6,8 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from buildlens.operators import windows
 from buildlens.session import scratch
-from buildlens.streaming import flows, waits
+from buildlens.streaming import batches, flows, waits
 
 START = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
 
@@ -162,3 +163,94 @@ def test_days_are_reported_when_over(spark, stream):
     day = int(START.timestamp() * 1e6)
     assert sorted(tuple(r) for r in got) == [
         (day, "main", "bad", 1), (day, "main", "ok", 2), (day, "v1", "ok", 1)]
+
+
+def test_first_rows_cost_their_batch_and_shrink_before_the_shuffle(spark, stream):
+    """A hot key reaches its task as one row per Arrow batch; no table is read again."""
+    runs = stream([[(1, "FAILURE", minutes(i)) for i in range(500)] + [(2, "FAILURE", None)],
+                   [(1, "FAILURE", minutes(0)), (3, "FAILURE", minutes(1))]],
+                  "run_id long, result string, ts timestamp")
+    table = scratch(spark, "first")
+    query = flows.keep_first(runs, table, ["run_id"], scratch(spark, "first-checkpoint"))
+    query.awaitTermination()
+    done = [p for p in query.recentProgress if p["numInputRows"]]
+    assert [p["numInputRows"] for p in done] == [501, 2]
+    assert sum(o["numRowsUpdated"] for p in done for o in p["stateOperators"]) <= 6
+    got = {r.run_id: r.ts for r in spark.read.schema(runs.schema).parquet(table).collect()}
+    assert sorted(got) == [1, 2, 3] and got[2] is None and got[1].timestamp() == minutes(0).timestamp()
+
+
+def table_of(spark, path, fan=2):
+    return batches.BatchTable(spark, path, lambda df: windows.latest_status(df, ["id"], ["n"]), fan)
+
+
+def test_batches_are_merged_by_size(spark, rows, tmp_path):
+    table, r, want, sizes = table_of(spark, str(tmp_path / "t")), random.Random(4), {}, []
+    for number in range(13):
+        data = [(r.randrange(30), number * 100 + i, r.choice("xyz")) for i in range(20)]
+        want |= {d[0]: d[1:] for d in data}
+        table.add(number, rows(data, "id int, n int, status string"))
+        sizes.append(len(table.manifest()["live"]))
+        assert {x.id: (x.n, x.status) for x in table.read().collect()} == want
+    # Few folders at any time: one for each bit of the number of batches.
+    assert max(sizes) <= 4 and sizes[-1] == bin(13).count("1")
+    assert len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("batch=")]) < 13
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark, rows, tmp_path):
+    table = table_of(spark, str(tmp_path / "t"), fan=3)
+    data = [rows([(i, i * 10 + k, "x") for k in range(3)], "id int, n int, status string") for i in range(4)]
+    for i in (0, 0, 1, 1):
+        table.add(i, data[i])
+    assert len(table.manifest()["live"]) == 2
+    for i in (2, 3, 0, 2, 3):  # the first three are merged by now
+        table.add(i, data[i])
+    assert {x.id: x.n for x in table.read().collect()} == {0: 2, 1: 12, 2: 22, 3: 32}
+    assert [x["through"] for x in table.manifest()["live"]] == [2, 3]
+    with pytest.raises(ValueError):
+        table_of(spark, str(tmp_path / "none")).read()
+
+
+def test_a_crash_before_the_switch_loses_nothing(spark, rows, tmp_path, monkeypatch):
+    table = table_of(spark, str(tmp_path / "t"), fan=2)
+    schema = "id int, n int, status string"
+    table.add(0, rows([(1, 1, "x"), (2, 1, "x")], schema))
+
+    def crash(manifest):
+        raise RuntimeError("crash")
+
+    with monkeypatch.context() as m:
+        m.setattr(table, "_switch", crash)
+        with pytest.raises(RuntimeError):
+            table.add(1, rows([(1, 2, "y")], schema))
+    assert {x.id: x.n for x in table.read().collect()} == {1: 1, 2: 1}
+    switch = table._switch
+    with monkeypatch.context() as m:
+        # The batch is written, the merge is not.
+        m.setattr(table, "_switch", lambda x: switch(x) if len(x["live"]) > 1 else crash(x))
+        with pytest.raises(RuntimeError):
+            table.add(1, rows([(1, 2, "y")], schema))
+    assert {x.id: x.n for x in table.read().collect()} == {1: 2, 2: 1}
+    table.add(1, rows([(1, 2, "y")], schema))
+    assert {x.id: x.n for x in table.read().collect()} == {1: 2, 2: 1}
+    assert len(table.manifest()["live"]) == 1
+
+
+def test_late_rows_change_a_closed_day(spark, stream, tmp_path):
+    batches_ = [[("main", "ok", minutes(1)), ("main", "ok", minutes(5)), ("v1", "ok", None)],
+                [("main", "ok", minutes(1440 + 30))],
+                [("main", "ok", minutes(1440 + 200)), ("main", "bad", minutes(8))],
+                [("main", "ok", minutes(7)), ("main", "bad", minutes(9)), ("main", "ok", minutes(1440 + 10))],
+                [("main", "ok", minutes(2 * 1440 + 59))]]
+    df = stream(batches_, "branch string, outcome string, ts timestamp")
+    table = str(tmp_path / "table")
+    flows.daily_branch_counts(df, table, "branch", "outcome", str(tmp_path / "ck")).awaitTermination()
+
+    def read(**options):
+        return {(r.day and r.day.day, r.branch, r.outcome): (r.n, r.late)
+                for r in flows.read_daily_counts(spark, table, **options).collect()}
+
+    # The first day was closed when the last rows about it came; the second one is open.
+    assert read() == {(1, "main", "ok"): (3, 1), (1, "main", "bad"): (2, 1)}
+    assert read(closed=False) == read() | {
+        (2, "main", "ok"): (3, 0), (3, "main", "ok"): (1, 0), (None, "v1", "ok"): (1, 0)}
