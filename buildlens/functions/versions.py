@@ -6,6 +6,8 @@ Versions are strings and compare character by character: ``v10.0.0`` sorts befor
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,24 +17,36 @@ def _blank(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+_DIGITS = 9
+
+
 def semantic_key(c: Column) -> Column:
     """All numbers of a version, of any size, as text whose order is that of the numbers.
 
     A number is written as the count of its digits and the digits; zeros at the end of a
-    version do not count.
+    version do not count. The key is costly: compute it once as a column, and compare that
+    with ``version_gate(..., mode="key")``.
     """
-    numbers = F.transform(
-        F.regexp_extract_all(c, F.lit(r"(\d+)"), 1), lambda x: F.regexp_replace(x, "^0+(?=.)", ""))
-    sized = F.transform(numbers, lambda x: F.concat(F.lpad(F.length(x).cast("string"), 9, "0"), x))
-    return F.regexp_replace(F.array_join(sized, "."), r"((^|\.)0000000010)+$", "")
+    numbers = F.split(F.regexp_replace(c, r"^\D+|\D+$", ""), r"\D+")
+    sized = F.transform(numbers, lambda x: F.concat(
+        F.lpad(F.length(F.ltrim(x, F.lit("0"))).cast("string"), _DIGITS, "0"), F.ltrim(x, F.lit("0"))))
+    return F.regexp_replace(F.array_join(sized, "."), rf"((^|\.)0{{{_DIGITS}}})+$", "")
+
+
+def key_of(version: str) -> str:
+    """The same key of a known version."""
+    numbers = [x.lstrip("0") for x in re.findall("[0-9]+", version)]
+    while numbers and not numbers[-1]:
+        numbers.pop()
+    return ".".join(f"{len(x):0{_DIGITS}d}{x}" for x in numbers)
 
 
 def version_gate(c: Column, op: str, bound: str, mode: str = "lexical") -> Column:
-    left, right = c, F.lit(bound)
-    if mode == "semantic":
-        left, right = semantic_key(c), semantic_key(right)
-    elif mode != "lexical":
+    """Compare a version with a bound; with ``key`` the column holds keys already."""
+    if mode not in ("lexical", "semantic", "key"):
         raise ValueError(f"unknown mode {mode!r}")
+    left = semantic_key(c) if mode == "semantic" else c
+    right = F.lit(bound if mode == "lexical" else key_of(bound))
     return {
         ">=": left >= right, ">": left > right,
         "<=": left <= right, "<": left < right,

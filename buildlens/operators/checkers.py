@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from buildlens.operators.tasks import apply_task_defaults
+from buildlens.session import scratch
 
 # Executors get the function itself, so they need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -72,25 +73,39 @@ class Checkers:
         self._by_type[task_type] = ("expression", checker)
 
     def register_body(self, task_type: str, body: Callable[[dict], str | None]) -> None:
-        self._by_type[task_type] = ("frame", lambda df: run_checker(df, body))
+        self._by_type[task_type] = ("body", body)
 
     def register_frame(self, task_type: str, frame: Callable[[DataFrame], DataFrame]) -> None:
         self._by_type[task_type] = ("frame", frame)
 
     def run(self, df: DataFrame, out: str = "checked") -> DataFrame:
-        """All expressions run in one pass; each frame gets the tasks of its type.
+        """All expressions run in one pass, and all bodies in another.
 
-        Columns that only some checkers add are null for the others.
+        Frames get the tasks of their type. If there are several, these tasks are stored once
+        by type and each frame reads its own, so the tasks are read three times at most,
+        however many types are registered. Columns that only some checkers add are null for
+        the others.
         """
-        parts, value, plain = [], F.lit(None).cast("string"), []
-        for task_type, (kind, checker) in self._by_type.items():
-            if kind == "expression":
-                plain.append(task_type)
-                value = F.when(F.col("task_type") == task_type, checker(df)).otherwise(value)
-            else:
-                parts.append(checker(df.filter(F.col("task_type") == task_type)))
-        if plain or not parts:
-            parts.insert(0, df.filter(F.col("task_type").isin(*plain)).withColumn(out, value))
+        of = {kind: {t: c for t, (k, c) in self._by_type.items() if k == kind}
+              for kind in ("expression", "body", "frame")}
+        value, parts = F.lit(None).cast("string"), []
+        for task_type, checker in of["expression"].items():
+            value = F.when(F.col("task_type") == task_type, checker(df)).otherwise(value)
+        if of["expression"] or not self._by_type:
+            parts.append(df.filter(F.col("task_type").isin(*of["expression"])).withColumn(out, value))
+        if of["body"]:
+            bodies = of["body"]
+            parts.append(run_checker(df.filter(F.col("task_type").isin(*bodies)),
+                                     lambda task: bodies[task["task_type"]](task)))
+        frames, stored = of["frame"], df
+        if len(frames) > 1:
+            folder = scratch(df.sparkSession, "tasks-by-type")
+            kept = df.filter(F.col("task_type").isin(*frames)).withColumn("__of", F.col("task_type"))
+            kept.write.partitionBy("__of").parquet(folder)
+            stored = df.sparkSession.read.schema(kept.schema).parquet(folder)
+        for task_type, frame in frames.items():
+            own = stored.filter(F.col("__of" if len(frames) > 1 else "task_type") == task_type)
+            parts.append(frame(own.select(*df.columns)))
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
     def skipped(self, df: DataFrame) -> DataFrame:

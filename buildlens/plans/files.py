@@ -6,6 +6,7 @@ and reads them back.
 
 from pyspark.sql import functions as F
 
+from buildlens.operators import schedules as due
 from buildlens.plans.registry import Inputs, query
 from buildlens.session import scratch
 from buildlens.sources import configs, reports, results
@@ -119,7 +120,7 @@ def ci_results(t: Inputs):
         F.array("author").alias("lark"))
     path = scratch(t.spark, "results")
     results.write_ci_results(tasks, runs, path, notifies=notifies)
-    got_tasks, got_runs, got_notifies = results.read_ci_results(t.spark, path, layout="lines")
+    got_tasks, got_runs, got_notifies = results.read_ci_results(t.spark, path)
 
     def shape(df, receivers):
         empty = F.lit(None)
@@ -283,10 +284,9 @@ def written_results(t: Inputs):
         "run_id", F.col("product").alias("name"), F.lit("TiPipeline").alias("type"))
     path = scratch(t.spark, "written")
     results.write_ci_results(tasks, runs, path)
-    lines = t.spark.read.text(path).filter(F.col("value").startswith("{"))
-    record = F.from_json(F.rtrim("value", F.lit(",")), "run_key string, type string")
-    return lines.select(record.alias("r")).groupBy(F.col("r.run_key").alias("run_key")).agg(
-        F.count("*").alias("records"), F.count_if(F.col("r.type") == "task").alias("tasks"))
+    got_tasks, got_runs, _ = results.read_ci_results(t.spark, path, layout="lines")
+    return got_tasks.select("run_key", "type").unionByName(got_runs.select("run_key", "type")) \
+        .groupBy("run_key").agg(F.count("*").alias("records"), F.count_if(F.col("type") == "task").alias("tasks"))
 
 
 @query("s14_facts", """
@@ -315,3 +315,50 @@ def checksums(t: Inputs):
     known = pages.filter(F.col("url").startswith("https")).select(
         "page_id", F.sha2(F.when(altered, F.col("url")).otherwise(F.col("html")), 256).alias("checksum"))
     return reports.compare_checksums(sums, known, "page_id").select("page_id", "checksum", "status")
+
+
+@query("s15_stored_checksums", """
+WITH files AS (SELECT page_id % 32 AS shard, concat(string_agg(url, chr(10) ORDER BY page_id, url), chr(10)) AS content FROM pages WHERE url IS NOT NULL GROUP BY 1)
+SELECT shard, CAST(strlen(content) AS BIGINT) AS bytes, sha256(content) AS checksum,
+  CASE WHEN shard % 3 = 0 THEN 'unrecorded' WHEN shard % 3 = 1 THEN 'different' ELSE 'same' END AS status
+FROM files
+""")
+def stored_checksums(t: Inputs):
+    # An artifact for each of 32 shards of the pages: their addresses, in the order of their ids.
+    path = scratch(t.spark, "artifacts")
+    t.table("pages").filter("url IS NOT NULL").select((F.col("page_id") % 32).alias("shard"), "page_id", "url") \
+        .repartition("shard").sortWithinPartitions("shard", "page_id", "url").drop("page_id") \
+        .write.partitionBy("shard").text(path)
+    shard = F.regexp_extract("path", "shard=([0-9]+)", 1).cast("bigint")
+    sums = reports.checksum_artifacts(t.spark, path).withColumn("shard", shard)
+    third = F.col("shard") % 3
+    reports.write_checksums(sums.filter(third != 0).withColumn(
+        "checksum", F.when(third == 1, F.sha2(F.col("checksum"), 256)).otherwise(F.col("checksum"))))
+    recorded = reports.read_checksums(t.spark, path)
+    return reports.compare_checksums(sums, recorded).select("shard", "bytes", "checksum", "status")
+
+
+@query("x7_due_times", """
+WITH crons AS (SELECT run_id, branch, CAST(run_id % 5 AS INT) AS k, CAST(run_id % 24 AS INT) AS h, CAST(run_id % 7 AS INT) AS w FROM branches),
+days AS (SELECT CAST(unnest(generate_series(TIMESTAMP '2024-02-26', TIMESTAMP '2024-03-10', INTERVAL 1 DAY)) AS DATE) AS day),
+hours AS (SELECT unnest(range(24)) AS hour), minutes AS (SELECT unnest([0, 15, 30, 45]) AS minute)
+SELECT run_id, branch, day + to_hours(CAST(hour AS INT)) + to_minutes(CAST(minute AS INT)) AS due, CASE k WHEN 3 THEN 60 ELSE 1 END AS minutes
+FROM crons CROSS JOIN days CROSS JOIN hours CROSS JOIN minutes
+WHERE CASE k WHEN 0 THEN hour = h AND minute = 0
+             WHEN 1 THEN hour IN (8, 12) AND minute = 30 AND dayofweek(day) BETWEEN 1 AND 5
+             WHEN 2 THEN hour = h AND (dayofmonth(day) = 1 OR dayofweek(day) = w)
+             WHEN 3 THEN hour = h AND minute = 0 AND dayofweek(day) IN (0, 6) AND month(day) = 3 ELSE false END
+""")
+def due_times(t: Inputs):
+    run = F.col("run_id")
+    k, h, w = run % 5, (run % 24).cast("string"), (run % 7).cast("string")
+    cron = F.when(k == 0, F.concat(F.lit("0 "), h, F.lit(" * * *"))) \
+        .when(k == 1, "30 8,12 * * MON-FRI") \
+        .when(k == 2, F.concat(F.lit("*/15 "), h, F.lit(" 1 * "), w)) \
+        .when(k == 3, F.concat(F.lit("H "), h, F.lit(" * 3 6,7"))) \
+        .otherwise("H H(2-5) * * *")
+    text = _lines("", F.concat(F.lit("  "), cron, F.lit(" % GIT_BRANCH="), F.col("branch")), "")
+    rows = configs.read_schedules(t.view("branches").select("run_id", text.alias("schedules")))
+    found = due.due_times(rows, F.lit("2024-02-26"), F.lit("2024-03-10"))
+    minutes = (F.unix_timestamp(F.col("until").cast("timestamp")) - F.unix_timestamp(F.col("due").cast("timestamp"))) / 60
+    return found.select("run_id", F.col("params")["GIT_BRANCH"].alias("branch"), "due", minutes.cast("int").alias("minutes"))

@@ -61,13 +61,15 @@ def version_gate(t: Inputs):
     tags = F.array(
         tag, F.concat(tag, F.lit("-"), (run + 20220505101112).cast("string")),
         F.concat(tag, F.lit(".0.0.1."), (run % 3).cast("string")))
-    return t.view("branches").select("run_id", F.explode(tags).alias("tag")).select(
+    key = F.col("key")
+    return t.view("branches").select("run_id", F.explode(tags).alias("tag")) \
+        .withColumn("key", versions.semantic_key(tag)).select(
         "run_id", "tag",
         versions.version_gate(tag, ">=", "v5.3.0").alias("lexical"),
         versions.version_gate(tag, "<=", "v5.1").alias("lexical_old"),
-        versions.version_gate(tag, ">=", "v5.3.0", mode="semantic").alias("semantic"),
-        versions.version_gate(tag, "<=", "v5.1", mode="semantic").alias("semantic_old"),
-        versions.version_gate(tag, ">", "v5.3.0-999999999", mode="semantic").alias("after_a_build"))
+        versions.version_gate(key, ">=", "v5.3.0", mode="key").alias("semantic"),
+        versions.version_gate(key, "<=", "v5.1", mode="key").alias("semantic_old"),
+        versions.version_gate(key, ">", "v5.3.0-999999999", mode="key").alias("after_a_build"))
 
 
 @query("f5_severity_filter", """

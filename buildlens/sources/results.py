@@ -7,41 +7,101 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from buildlens import schemas
-
-
-def _split_rows(rows: DataFrame, extra: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    run, notify = F.col("type").isin(*schemas.RUN_TYPES), F.col("type") == schemas.NOTIFY_TYPE
-    task = ~F.coalesce(run | notify, F.lit(False))
-    return (
-        rows.filter(task).select(*extra, *schemas.TASK_RESULT_FIELDS),
-        rows.filter(run).select(*extra, *schemas.RUN_RESULT_FIELDS),
-        rows.filter(notify).select(*extra, *schemas.NOTIFY_RESULT_FIELDS),
-    )
+from buildlens.session import scratch
+
+
+# Files up to this size are read as a whole, larger ones line by line.
+WHOLE_BYTES = 64 << 20
+_LONGS = [f.name for f in schemas.CI_RESULT.fields if isinstance(f.dataType, T.LongType)]
+# A record as it is parsed: numbers stay text until it is known whether they are some.
+_RECORD = T.StructType(
+    [T.StructField(f.name, T.StringType() if f.name in _LONGS else f.dataType) for f in schemas.CI_RESULT.fields]
+    + [T.StructField("run_key", T.StringType())])
+
+
+def _whole_files(rows: DataFrame) -> DataFrame:
+    """``source, r, edge, error``: the records of files that were read as one text each."""
+    # A line end cannot stand inside a JSON text, so this joins arrays and nothing else.
+    one = F.regexp_replace("value", r"\]\s*\n\s*\[", ",")
+    found = F.from_json(one, T.ArrayType(_RECORD), {"mode": "PERMISSIVE"})
+    good = F.transform(found, lambda r: F.struct(
+        r.alias("r"), F.when(r.isNull(), "a record is no object").alias("error")))
+    bad = F.array(F.struct(F.lit(None).cast(_RECORD).alias("r"), F.lit("not JSON arrays").alias("error")))
+    return rows.filter(F.length(F.trim("value")) > 0) \
+        .select("source", F.explode(F.coalesce(good, bad)).alias("x")) \
+        .select("source", "x.r", F.lit(0).alias("edge"), "x.error")
+
+
+def _by_line(rows: DataFrame) -> DataFrame:
+    """``source, r, edge, error``: a record, or an end of an array, or an error on each line."""
+    text = F.trim(F.regexp_replace("value", r"\s+$", ""))
+    alone = text.startswith("[{") & text.endswith("}]")
+    bare = F.when(alone, F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(F.rtrim(text, F.lit(",")))
+    r = F.when(bare.startswith("{"), F.from_json(bare, _RECORD, {"mode": "PERMISSIVE"}))
+    edge = F.when(text == "[", 1).when(text == "]", -1).otherwise(0)
+    # What cannot be parsed is a record without any field.
+    broken = F.coalesce(F.to_json(r) == "{}", F.lit(True)) & (edge == 0)
+    return rows.filter(F.length(F.trim("value")) > 0).select(
+        "source", F.when(~broken, r).alias("r"), edge.alias("edge"),
+        F.when(broken, "a line is no record").alias("error"))
 
 
 def read_ci_results(
     spark: SparkSession, path: str, layout: str = "files"
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(tasks, runs, notifies) of result files.
-
-    ``files``: JSON arrays, each beginning on a line of its own, ``source`` names the
-    file; a file that is something else, such as half an array, is an error. ``lines``:
-    what :func:`write_ci_results` writes, ``run_key`` names the run.
+    """(tasks, runs, notifies) of result files, with ``source``, ``run_key`` and ``_error``.
+
+    ``files``: JSON arrays, each beginning on a line of its own, ``source`` names the file.
+    Files of up to ``WHOLE_BYTES`` may be laid out in any way; larger ones, which are read line
+    by line and in pieces, need a line for each record and for each end of an array, or for an
+    array of one record, as :func:`write_ci_results` gives them. A file that is something else,
+    such as half an array, is a row of the tasks with its ``_error``, and gives no records.
+    ``lines``: every file line by line, whatever its arrays look like; ``run_key`` names the
+    run in files that this library wrote. A record with a number that is none, or without
+    being an object, has it named in ``_error``.
+
+    The files are read once: records are stored by kind, and the three tables read theirs.
     """
-    if layout == "files":
-        # A line end cannot stand inside a JSON text, so this joins arrays and nothing else.
-        one = F.regexp_replace("value", r"\]\s*\n\s*\[", ",")
-        rows = spark.read.text(path, wholetext=True).filter(F.length(F.trim("value")) > 0).select(
-            F.explode(F.from_json(one, T.ArrayType(schemas.CI_RESULT), {"mode": "FAILFAST"})).alias("r"),
-            F.col("_metadata.file_path").alias("source")).select("r.*", "source")
-        return _split_rows(rows, ["source"])
-    if layout != "lines":
+    if layout not in ("files", "lines"):
         raise ValueError(f"unknown layout {layout!r}")
-    record = F.rtrim(F.col("value"), F.lit(","))
-    schema = T.StructType([*schemas.CI_RESULT.fields, T.StructField("run_key", T.StringType())])
-    rows = spark.read.text(path).filter(F.col("value").startswith("{")) \
-        .select(F.from_json(record, schema).alias("r")).select("r.*")
-    return _split_rows(rows, ["run_key"])
+    source = F.col("_metadata.file_path").alias("source")
+    lines = spark.read.text(path)
+    if layout == "files":
+        # Sizes are known from the listing, so each file is opened by one of the two.
+        small = spark.read.text(path, wholetext=True).filter(F.col("_metadata.file_size") <= WHOLE_BYTES)
+        large = lines.filter(F.col("_metadata.file_size") > WHOLE_BYTES)
+        rows = _whole_files(small.select("value", source)).unionByName(_by_line(large.select("value", source)))
+    else:
+        rows = _by_line(lines.select("value", source))
+    kind = (
+        F.when(F.col("r").isNull(), "edge")
+        .when(F.col("r.type").isin(*schemas.RUN_TYPES), "run")
+        .when(F.col("r.type") == schemas.NOTIFY_TYPE, "notify").otherwise("task")
+    )
+    numbers = {n: F.col(n).try_cast("bigint") for n in _LONGS}
+    wrong = [F.when(F.col(n).isNotNull() & numbers[n].isNull(), F.concat(F.lit(f"{n} is no number: "), F.col(n)))
+             for n in _LONGS]
+    flat = rows.select("source", "edge", "error", kind.alias("kind"), "r.*") \
+        .withColumn("_error", F.nullif(F.concat_ws("; ", *wrong), F.lit(""))).withColumns(numbers)
+    folder = scratch(spark, "ci-results")
+    flat.write.partitionBy("kind").parquet(folder)
+    stored = spark.read.schema(flat.schema).parquet(folder)
+    bad = stored.filter(F.col("kind") == "edge").groupBy("source").agg(
+        F.sum("edge").alias("open"), F.max("error").alias("__e")
+    ).select("source", F.coalesce("__e", F.when(F.col("open") != 0, "an array has no end")).alias("__e")) \
+        .filter(F.col("__e").isNotNull())
+
+    def of(name: str, fields: list[str]) -> DataFrame:
+        out = stored.filter(F.col("kind") == name)
+        if layout == "files":
+            out = out.join(bad, "source", "left_anti")
+        return out.select("source", "run_key", *fields, "_error")
+
+    errors = bad if layout == "files" else \
+        stored.filter((F.col("kind") == "edge") & F.col("error").isNotNull()).select("source", F.col("error").alias("__e"))
+    tasks = of("task", schemas.TASK_RESULT_FIELDS).unionByName(
+        errors.select("source", F.col("__e").alias("_error")), allowMissingColumns=True)
+    return tasks, of("run", schemas.RUN_RESULT_FIELDS), of("notify", schemas.NOTIFY_RESULT_FIELDS)
 
 
 def write_ci_results(
@@ -51,9 +111,9 @@ def write_ci_results(
     """A JSON array per run: its task rows, its run row, then its notify row if any.
 
     The records of a run are adjacent lines of sorted files, and its array is whole in one
-    file. Only the array of a run with more than ``crowd`` tasks spans several files, which
-    the layout ``lines`` reads and ``files`` refuses. Tasks of a key without a run row are
-    records without an array, for ``lines`` as well. Nothing is collected per run.
+    file. The tasks of a run with more than ``crowd`` of them spread over files, and so each
+    is an array of its own on one line; so is a task of a key without a run row. Every file
+    holds whole arrays and is read by both layouts. Nothing is collected per run.
     """
     def record(df: DataFrame, names: list[str]) -> Column:
         fields = [F.col(n) for n in names if n in df.columns]
@@ -62,7 +122,7 @@ def write_ci_results(
     def line(df: DataFrame, position: int, text: Column) -> DataFrame:
         return df.select(F.col(key).alias("k"), F.lit(position).alias("p"), text.alias("value"))
 
-    task_lines = line(tasks, 1, F.concat(record(tasks, schemas.TASK_RESULT_FIELDS), F.lit(",")))
+    task_lines = line(tasks, 1, record(tasks, schemas.TASK_RESULT_FIELDS))
     run_record = record(runs, schemas.RUN_RESULT_FIELDS)
     frame = runs.select(
         F.col(key).alias("k"),
@@ -76,15 +136,19 @@ def write_ci_results(
     lines = task_lines.unionByName(frame)
     if notifies is not None:
         lines = lines.unionByName(line(notifies, 3, record(notifies, schemas.NOTIFY_RESULT_FIELDS)))
-    crowded = task_lines.groupBy("k").count().filter(F.col("count") > crowd) \
-        .select("k", F.ceil(F.col("count") / F.lit(crowd)).alias("parts"))
-    part = (
-        F.when(F.col("parts").isNull() | (F.col("p") == 0), 0)
-        .when(F.col("p") == 1, F.pmod(F.xxhash64("value"), "parts") + 1).otherwise(F.col("parts") + 1)
-    )
+    keys = tasks.select(F.col(key).alias("k"), F.lit(1).alias("task")) \
+        .unionByName(runs.select(F.col(key).alias("k"), F.lit(0).alias("task")))
+    apart = keys.groupBy("k").agg(F.sum("task").alias("n"), F.min("task").alias("missing")) \
+        .filter((F.col("n") > crowd) | (F.col("missing") == 1)) \
+        .select("k", F.ceil(F.col("n") / F.lit(crowd)).alias("parts"))
+    alone = F.col("parts").isNotNull()
+    task = F.col("p") == 1
     # Rows that agree in k and part are never dealt to different files.
+    part = F.when(task & alone, F.pmod(F.xxhash64("value"), "parts") + 1).otherwise(0)
+    value = F.when(task & alone, F.concat(F.lit("["), F.col("value"), F.lit("]"))) \
+        .when(task, F.concat("value", F.lit(","))).otherwise(F.col("value"))
     (
-        lines.join(crowded, "k", "left").withColumn("part", part)
+        lines.join(apart, "k", "left").select("k", "p", part.alias("part"), value.alias("value"))
         .repartitionByRange("k", "part").sortWithinPartitions("k", "part", "p", "value")
         .select("value").write.mode(mode).text(path)
     )

@@ -53,3 +53,22 @@ def test_bodies_and_frames_register_like_expressions(rows):
     got = {r.task_type: r for r in found.run(df).collect()}
     assert sorted(got) == ["a", "b", "c"] and got["a"].checked == "Q" and got["a"].lines is None
     assert (got["b"].status, got["b"].result) == ("passed", "q!") and (got["c"].lines, got["c"].bad) == (3, 1)
+
+
+def test_tasks_are_not_read_again_for_each_type(spark, rows, tmp_path):
+    rows([(t, i, None, None) for i, t in enumerate("abcdefgh")],
+         "task_type string, x int, timeout int, retry int").write.parquet(str(tmp_path / "tasks"))
+    df = spark.read.parquet(str(tmp_path / "tasks"))
+    found = checkers.Checkers()
+    for t in "ab":
+        found.register(t, lambda df: df.x.cast("string"))
+    for t in "cde":
+        found.register_body(t, lambda task, t=t: f"{t} {task['x']}")
+    for t in "fgh":
+        found.register_frame(t, lambda df, t=t: df.withColumn("frame", F.lit(t)))
+    got = found.run(df)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f"{tmp_path}/tasks]") <= 2 and plan.count("MapInArrow") == 1
+    assert {r.task_type: r.checked or r.result or r.frame for r in got.collect()} == {
+        "a": "0", "b": "1", "c": "c 2", "d": "d 3", "e": "e 4", "f": "f", "g": "g", "h": "h"}
+    assert checkers.Checkers().run(df).count() == 0

@@ -138,9 +138,13 @@ def test_arrays_stay_in_one_file_but_for_crowded_runs(spark, rows, tmp_path, man
         assert len(texts) > 2 and (open_ended > 0) == bool(split)
         got, got_runs, _ = results.read_ci_results(spark, str(out), layout="lines")
         assert got.count() == 2400 and got_runs.count() == 60
-        if not split:
-            got, got_runs, _ = results.read_ci_results(spark, str(out))
+        # Readers need not know: every file holds whole arrays.
+        for whole in (results.WHOLE_BYTES, 100):
+            with pytest.MonkeyPatch.context() as m:
+                m.setattr(results, "WHOLE_BYTES", whole)
+                got, got_runs, _ = results.read_ci_results(spark, str(out))
             assert got.count() == 2400 and got_runs.count() == 60
+            assert got.filter("_error IS NOT NULL").count() == 0 and got.filter("run_key = '7'").count() == 925
 
 
 def test_subtasks(rows):
@@ -231,6 +235,39 @@ def test_checksums(spark, tmp_path):
         "a.tar.gz": "same", "b.tar.gz": "different", "c.tar.gz": "unrecorded"}
     md5 = reports.checksum_artifacts(spark, str(tmp_path), "md5").filter(F.col("path").endswith("a.tar.gz"))
     assert md5.collect()[0].checksum == hashlib.md5(b"one").hexdigest()
+    by_spark = reports.checksum_artifacts(spark, str(tmp_path), open_file=None)
+    assert sorted(map(tuple, by_spark.collect())) == sorted(map(tuple, sums.collect()))
+    with pytest.raises(ValueError):
+        reports.checksum_artifacts(spark, str(tmp_path), "crc")
+
+
+def test_artifacts_of_any_size(spark, tmp_path):
+    """Over 2 GB, which no value can hold; the file has holes, so it takes no disk."""
+    size = (1 << 31) + 12345
+    with open(tmp_path / "large.tar", "wb") as f:
+        f.seek(size - 3)
+        f.write(b"end")
+    put(tmp_path, "a small one.tar", "x")
+    want, left = hashlib.md5(), size - 3
+    while left:
+        want.update(bytes(min(left, 1 << 24)))
+        left -= min(left, 1 << 24)
+    want.update(b"end")
+    got = {r.path.rsplit("/", 1)[1]: (r.bytes, r.checksum) for r in
+           reports.checksum_artifacts(spark, str(tmp_path), "md5").collect()}
+    assert got == {"large.tar": (size, want.hexdigest()), "a small one.tar": (1, hashlib.md5(b"x").hexdigest())}
+
+
+def test_checksums_are_written_beside_their_files(spark, tmp_path):
+    put(tmp_path, "a.so", "one")
+    put(tmp_path, "b.so", "two")
+    for algorithm in ("sha256", "md5"):
+        sums = reports.checksum_artifacts(spark, str(tmp_path), algorithm)
+        assert reports.write_checksums(sums) == 2 and reports.write_checksums(sums) == 2
+        recorded = reports.read_checksums(spark, str(tmp_path))
+        assert {r.status for r in reports.compare_checksums(sums, recorded.filter(
+            F.length("checksum") == (64 if algorithm == "sha256" else 32))).collect()} == {"same"}
+    assert (tmp_path / "a.so.md5").read_text() == hashlib.md5(b"one").hexdigest() + "  a.so\n"
 
 
 def test_yaml_scalars_stay_as_written(spark, tmp_path):
@@ -265,8 +302,30 @@ def test_all_arrays_of_a_file_are_read(spark, tmp_path):
     tasks, runs, _ = results.read_ci_results(spark, str(tmp_path))
     assert sorted(r.name for r in tasks.collect()) == ["a][b", "c"] and runs.count() == 1
     put(tmp_path, "half.json", '[\n{"name": "d", "type": "task"},\n')
-    with pytest.raises(Exception):
-        results.read_ci_results(spark, str(tmp_path))[0].collect()
+    put(tmp_path, "other.json", "no JSON")
+    put(tmp_path, "none.json", "\n[]\n")
+    put(tmp_path, "number.json", '[{"name": "e", "type": "task", "duration": "soon", "startTime": 8}]')
+    for whole in (results.WHOLE_BYTES, 0):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(results, "WHOLE_BYTES", whole)
+            tasks, runs, _ = results.read_ci_results(spark, str(tmp_path))
+        got = tasks.collect()
+        errors = {r.source.rsplit("/", 1)[1]: r._error for r in got if r.name is None}
+        if whole:
+            assert sorted(r.name for r in got if r.name) == ["a][b", "c", "e"] and runs.count() == 1
+            assert errors == {"half.json": "not JSON arrays", "other.json": "not JSON arrays"}
+        else:
+            assert {"c", "e"} <= {r.name for r in got} and errors["half.json"] == "an array has no end"
+        e, = (r for r in got if r.name == "e")
+        assert (e.duration, e.startTime, e._error) == (None, 8, "duration is no number: soon")
+
+
+def test_results_are_parsed_once(spark, rows, tmp_path):
+    runs = rows([(1, "r1", "TiPipeline")], "run_id int, name string, type string")
+    results.write_ci_results(rows([(1, "t", "task")], "run_id int, name string, type string"), runs, str(tmp_path / "o"))
+    for df in results.read_ci_results(spark, str(tmp_path / "o")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan text" not in plan and "PartitionFilters: [isnotnull(kind" in plan
 
 
 def test_artifacts_are_not_opened_for_their_sums(spark, tmp_path):
@@ -275,3 +334,34 @@ def test_artifacts_are_not_opened_for_their_sums(spark, tmp_path):
     put(tmp_path, "b.so.md5", "def  b.so")
     got = {r.path.rsplit("/", 1)[1]: r.checksum for r in reports.read_checksums(spark, str(tmp_path)).collect()}
     assert got == {"a.tar.gz": "abc", "b.so": "def"}
+
+
+def test_fields_that_do_not_fit_are_named(spark, tmp_path):
+    put(tmp_path, "a.yaml", "pipelineName: p\nid: 3000000000\nnotify: [x]\ntasks:\n"
+                            "- {taskName: t, timeout: abc, retry: 08}\n- {taskName: u, timeout: 1.5, vars: {k: v}}\n"
+                            "- {taskName: w, timeout: 0x10, retry: ~, params: []}\n- just text\n")
+    put(tmp_path, "b.yaml", "pipelineName: q\ntasks: {}\n---\npipelineName: r\nid: 7\n")
+    got = {r.pipelineName: r for r in configs.read_pipeline_specs(spark, str(tmp_path)).collect()}
+    size = "no number of the field's size"
+    assert got["p"]._error.split("; ") == [
+        f"id is {size}: 3000000000", "notify is no mapping: ['x']", f"tasks[0].timeout is {size}: abc",
+        f"tasks[0].retry is {size}: 08", f"tasks[1].timeout is {size}: 1.5", "tasks[1].vars is no list: {'k': 'v'}",
+        "tasks[2].params is no mapping: []", "tasks[3] is no mapping: just text"]
+    assert [t and (t.taskName, t.timeout, t.retry) for t in got["p"].tasks] == [
+        ("t", None, None), ("u", None, None), ("w", 16, None), None]
+    assert got["q"]._error == "tasks is no list: {}" and (got["r"].id, got["r"]._error) == (7, None)
+
+
+def test_legacy_fields_that_do_not_fit_leave_the_others(spark, tmp_path):
+    put(tmp_path, "a.yaml", "notify: x\ntasks:\n- {taskType: build, name: a, secretVar: {k: v}}\n")
+    r, = configs.read_legacy_tasks(spark, str(tmp_path)).collect()
+    assert (r.name, r.secretVar, r.buildEnv.image) == ("a", None, "golang-1.16")
+    assert r._error == "notify is no mapping: x; tasks[0].secretVar is no list: {'k': 'v'}"
+
+
+def test_junit_is_parsed_once(spark, tmp_path):
+    put(tmp_path, "a.xml", '<testsuite><testcase name="n" classname="s" time="1"/></testsuite>')
+    put(tmp_path, "b.xml", "<testsuite></testsuite>")
+    df = reports.read_junit(spark, str(tmp_path), allow_empty=False)
+    assert "FileScan xml" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.report, r.outcome) for r in df.collect()) == [("a.xml", "passed"), ("b.xml", "empty")]
