@@ -151,7 +151,7 @@ def _meetings(sets: DataFrame) -> DataFrame:
 
 
 def _fold(rows: np.ndarray, size: int) -> np.ndarray:
-    return np.bitwise_xor.reduce(rows.reshape(len(rows), -1, size), 1)
+    return np.bitwise_xor.reduce(rows.reshape(len(rows), rows.shape[1] // size, size), 1)
 
 
 class Bucket:

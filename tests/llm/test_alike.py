@@ -84,6 +84,24 @@ def test_buckets_propose_what_may_be_alike():
                                   alike.sketch(sets[bucket.t[j]])) for i, o in centres for j in o.tolist())
 
 
+def test_buckets_of_sketches_of_two_lengths():
+    """Sets of 250 to 262 shingles: some sketches have 256 bits and some 512."""
+    rng, rows = random.Random(4), []
+    for _ in range(3):
+        base = [f"w{rng.randint(0, 5000)}" for _ in range(254)]
+        rows += [" ".join(base[:k] + [f"x{k}"] + base[k:] + [f"e{j}" for j in range(rng.choice([0, 13]))]) for k in (20, 90, 150, 210)]
+    sets = [alike.shingles(t) for t in rows]
+    bucket = alike.Bucket(list(range(len(sets))), [len(s) for s in sets], list(range(len(sets))),
+                          [alike.sketch(s) for s in sets])
+    assert len(bucket.by_size) == 2
+    met = {frozenset((int(bucket.t[i]), t)) for i, o in bucket.pairs() for t in bucket.t[o].tolist()}
+    assert met >= {frozenset((i, j)) for i in range(len(sets)) for j in range(i) if alike.alike(sets[i], sets[j])}
+    assert met == {frozenset((i, j)) for i in range(len(sets)) for j in range(i)
+                   if 5 * min(len(sets[i]), len(sets[j])) >= 4 * max(len(sets[i]), len(sets[j]))
+                   and alike.may_be_alike(len(sets[i]) + len(sets[j]), alike.sketch(sets[i]), alike.sketch(sets[j]))}
+    assert sum(1 + len(o) for _, o in bucket.stars()) == len(sets)
+
+
 def test_alike_texts_share_a_bucket():
     """Recall of the bands, and of the whole operator on the given texts (below)."""
     rng, met, n = random.Random(6), 0, 300
