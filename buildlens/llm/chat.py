@@ -4,6 +4,11 @@ Conversations that begin with the same turns share them: sorted by the hashes of
 prefixes they follow each other depth-first, and a sequence holds each shared turn once.
 Every turn carries its position in its conversation and the intervals of its ancestors in
 the sequence, which are all that it may attend to besides itself.
+
+Turns of a conversation are never gathered: they pass a task in their order. A long
+conversation is cut into segments of bounded size; a segment knows the hash of all that is
+before it, so those of equal prefixes still share their turns, and its positions go on. In a
+sequence that begins with a later segment the ancestors are those of the sequence.
 """
 
 from __future__ import annotations
@@ -25,18 +30,22 @@ EXTRA_ID, EXTRA_TEXT = -1, "<|im_end|><|im_start|>assistant ok"
 # A sequence begins anew at the next conversation once it has so many characters; a task
 # writes about so many.
 SEQUENCE_CHARS, TASK_CHARS = 1 << 18, 1 << 23
+# A conversation is cut where so many turns or characters have come since the last cut.
+SEGMENT_TURNS, SEGMENT_CHARS = 2_000, 1 << 20
 
 _MARK = re.compile(r"<(\\*)\|")
 _MARKED = re.compile(r"<\\(\\*)\|")
 _TURN = re.compile(re.escape(START) + r"(.*?)\n(.*?)" + re.escape(END) + r"\n", re.S)
 
 SPAN = "struct<start: int, stop: int>"
-FORMATTED_DDL = "conv_id long, leaf binary, path array<binary>, turns array<string>, loss array<boolean>"
+FORMATTED_DDL = ("conv_id long, segment int, long boolean, base long, leaf binary, path array<binary>, "
+                 "turns array<string>, loss array<boolean>")
 TREES_DDL = (
-    "sequence long, text string, nodes array<struct<start: int, stop: int, position: int, "
-    f"loss: array<{SPAN}>, ancestors: array<{SPAN}>, leaf: binary>>")
+    "sequence long, text string, nodes array<struct<start: int, stop: int, position: long, "
+    f"loss: array<{SPAN}>, ancestors: array<{SPAN}>, leaf: binary, long: boolean>>")
 READ_DDL = ("leaf binary, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
-            "formatted_chars long")
+            "formatted_chars long, told string, learned string")
+DIGESTS = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
 
 def _span_type() -> pa.DataType:
@@ -44,18 +53,20 @@ def _span_type() -> pa.DataType:
 
 
 FORMATTED = pa.schema([
-    ("conv_id", pa.int64()), ("leaf", pa.binary()), ("path", pa.list_(pa.binary())),
+    ("conv_id", pa.int64()), ("segment", pa.int32()), ("long", pa.bool_()), ("base", pa.int64()),
+    ("leaf", pa.binary()), ("path", pa.list_(pa.binary())),
     ("turns", pa.list_(pa.string())), ("loss", pa.list_(pa.bool_())),
 ])
 TREES = pa.schema([
     ("sequence", pa.int64()), ("text", pa.string()),
     ("nodes", pa.list_(pa.struct([
-        ("start", pa.int32()), ("stop", pa.int32()), ("position", pa.int32()),
-        ("loss", _span_type()), ("ancestors", _span_type()), ("leaf", pa.binary())]))),
+        ("start", pa.int32()), ("stop", pa.int32()), ("position", pa.int64()),
+        ("loss", _span_type()), ("ancestors", _span_type()), ("leaf", pa.binary()), ("long", pa.bool_())]))),
 ])
 READ = pa.schema([
     ("leaf", pa.binary()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()),
     ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()),
+    ("told", pa.string()), ("learned", pa.string()),
 ])
 
 
@@ -84,32 +95,44 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return [(unescape_role(r), unescape(t)) for r, t in _TURN.findall(formatted)]
 
 
-def format_conversations(conversations: DataFrame) -> DataFrame:
-    """One row per conversation: its formatted turns, and a hash of each of its prefixes.
+def format_conversations(conversations: DataFrame, segment_turns: int = SEGMENT_TURNS,
+                         segment_chars: int = SEGMENT_CHARS) -> DataFrame:
+    """A row for each segment of each conversation: its formatted turns, and a hash of each prefix.
 
     Turns follow ``turn``, ties the role and the text; nulls come first. A null text or role
-    is empty, and rows without a ``conv_id`` are one conversation without id.
+    is empty, and rows without a ``conv_id`` are one conversation without id. ``long`` tells
+    whether a conversation has several segments, ``base`` how many characters are before one.
     """
-    turn = F.struct("turn", "role", "text")
-    rows = conversations.select(F.col("conv_id").cast("long"), "turn", "role", "text") \
-        .groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, key, segment, base, path, turns, loss = None, b"", 0, 0, [], [], []
+
+        def row(more: bool) -> tuple:
+            return at[0], segment, more or segment > 0, base, key, path, turns, loss
+
         for part in slices(batches):
-            out = [[], [], [], []]
-            for turns in part.column(1).to_pylist():
-                texts, path, loss, key = [], [], [], b""
-                for t in turns:
-                    role = t["role"] or ""
-                    texts.append(format_turn(role, t["text"] or ""))
-                    key = hashlib.blake2b(key + texts[-1].encode(), digest_size=16).digest()
-                    path.append(key)
-                    loss.append(role == ASSISTANT)
-                for column, value in zip(out, (key, path, texts, loss)):
-                    column.append(value)
-            yield record_batch(FORMATTED, [part.column(0), *out])
-
-    return rows.mapInArrow(run, FORMATTED_DDL)
+            out = []
+            for conv_id, role, text in zip(*(part.column(i).to_pylist() for i in (0, 2, 3))):
+                if at != (conv_id,):
+                    if path:
+                        out.append(row(False))
+                    at, key, segment, base, path, turns, loss = (conv_id,), b"", 0, 0, [], [], []
+                elif len(path) >= segment_turns or size > segment_chars:
+                    out.append(row(True))
+                    segment, base, path, turns, loss = segment + 1, base + size, [], [], []
+                turn = format_turn(role or "", text or "")
+                size = size + len(turn) if path else len(turn)
+                key = hashlib.blake2b(key + turn.encode(), digest_size=16).digest()
+                path.append(key)
+                turns.append(turn)
+                loss.append(role == ASSISTANT)
+            if out:
+                yield record_batch(FORMATTED, list(map(list, zip(*out))))
+        if path:
+            yield record_batch(FORMATTED, list(map(list, zip(row(False)))))
+
+    order = ["turn", "role", "text"]
+    return conversations.select(F.col("conv_id").cast("long"), *order).repartition("conv_id") \
+        .sortWithinPartitions("conv_id", *order).mapInArrow(run, FORMATTED_DDL)
 
 
 class _Sequence:
@@ -117,47 +140,49 @@ class _Sequence:
 
     def __init__(self):
         self.parts, self.nodes, self.size = [], [], 0
-        self.way: list[tuple[bytes, int, int, int]] = []  # hash, start, stop, position
+        self.way: list[tuple[bytes, int, int, int]] = []  # hash, node, start, stop
 
-    def add(self, path: list[bytes], turns: list[str], loss: list[bool]) -> None:
+    def add(self, path: list[bytes], turns: list[str], loss: list[bool], base: int, long: bool) -> None:
         shared = 0
         while shared < min(len(path), len(self.way)) and path[shared] == self.way[shared][0]:
             shared += 1
         del self.way[shared:]
         for key, turn, learn in zip(path[shared:], turns[shared:], loss[shared:]):
-            above = []
-            for _, start, stop, _ in self.way:
-                if above and above[-1]["stop"] == start:
-                    above[-1] = {"start": above[-1]["start"], "stop": stop}
+            # What the node above attends to, and the node itself.
+            above, position = [], base
+            if self.way:
+                _, n, begin, end = self.way[-1]
+                above, position = self.nodes[n]["ancestors"], self.nodes[n]["position"] + end - begin
+                if above and above[-1]["stop"] == begin:
+                    above = [*above[:-1], {"start": above[-1]["start"], "stop": end}]
                 else:
-                    above.append({"start": start, "stop": stop})
+                    above = [*above, {"start": begin, "stop": end}]
             start, stop = self.size, self.size + len(turn)
-            position = self.way[-1][3] + self.way[-1][2] - self.way[-1][1] if self.way else 0
             text_at = start + turn.index("\n") + 1
             self.parts.append(turn)
             self.nodes.append({
-                "start": start, "stop": stop, "position": position, "ancestors": above, "leaf": None,
+                "start": start, "stop": stop, "position": position, "ancestors": above, "leaf": None, "long": False,
                 "loss": [{"start": text_at, "stop": stop - len(END) - 1}] if learn else []})
-            self.way.append((key, start, stop, position))
+            self.way.append((key, len(self.nodes) - 1, start, stop))
             self.size = stop
-        if shared < len(path):
-            self.nodes[-1]["leaf"] = path[-1]
-        else:
-            # All of it is there already: it ends in the midst of a longer one.
-            end = self.way[-1][2]
-            next(n for n in self.nodes if n["stop"] == end)["leaf"] = path[-1]
+        # It may be there as a whole already, and end in the midst of a longer one.
+        self.nodes[self.way[-1][1]].update(leaf=path[-1], long=long)
 
 
 def build_trees(formatted: DataFrame, sequence_chars: int = SEQUENCE_CHARS) -> DataFrame:
-    """Sequences of turns in depth-first order, from distinct conversations.
+    """Sequences of turns in depth-first order, from distinct segments of conversations.
 
-    Equal conversations are written once. The rest is dealt by ranges of prefix hashes, so
-    many conversations with the same first turns spread over tasks; a turn is written once
-    in a sequence and again only in the next one, as a sequence has bounded size.
+    Equal ones are written once. The rest is dealt by ranges of prefix hashes, so many
+    conversations with the same first turns spread over tasks; a turn is written once in a
+    sequence and again only in the next one, as a sequence has bounded size.
     """
-    first = formatted.groupBy("leaf").agg(F.min(F.struct("conv_id")).alias("first"))
-    distinct = formatted.join(first, "leaf").filter(F.col("conv_id").eqNullSafe(F.col("first.conv_id"))) \
-        .select("path", "turns", "loss")
+    # Equal prefixes are cut at the same places, so a leaf names one segment. It may be a whole
+    # conversation and the beginning of a longer one.
+    first = formatted.groupBy("leaf").agg(
+        F.min(F.struct("conv_id", "segment")).alias("first"), F.max("long").alias("any_long"))
+    distinct = formatted.join(first, "leaf").filter(
+        F.col("conv_id").eqNullSafe(F.col("first.conv_id")) & (F.col("segment") == F.col("first.segment"))) \
+        .select("path", "turns", "loss", "base", F.col("any_long").alias("long"))
     size = F.aggregate("turns", F.lit(0).cast("long"), lambda a, t: a + F.length(t))
     n = 1 + (formatted.agg(F.sum(size)).head()[0] or 0) // TASK_CHARS
 
@@ -169,11 +194,11 @@ def build_trees(formatted: DataFrame, sequence_chars: int = SEQUENCE_CHARS) -> D
             return record_batch(TREES, [[number], ["".join(own.parts)], [own.nodes]])
 
         for part in slices(batches):
-            for path, turns, loss in zip(*(part.column(i).to_pylist() for i in range(3))):
+            for path, turns, loss, base, long in zip(*(part.column(i).to_pylist() for i in range(5))):
                 if own.size and (path[0] != own.way[0][0] or own.size > sequence_chars):
                     yield close()
                     number, own = number + 1, _Sequence()
-                own.add(path, turns, loss)
+                own.add(path, turns, loss, base, long)
         if own.size:
             yield close()
 
@@ -181,7 +206,10 @@ def build_trees(formatted: DataFrame, sequence_chars: int = SEQUENCE_CHARS) -> D
 
 
 def read_trees(trees: DataFrame) -> DataFrame:
-    """Each distinct conversation, from the spans of its turns and the loss mask."""
+    """Each distinct segment, from the spans of its turns and the loss mask.
+
+    ``told`` and ``learned`` are what the digests are of, where a segment is not all.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, nodes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
@@ -202,21 +230,56 @@ def read_trees(trees: DataFrame) -> DataFrame:
                     told = "".join(f"{r}\n{t}\n" for r, t in turns)
                     for column, value in zip(out, (
                             node["leaf"], len(turns), hashlib.sha256(told.encode()).hexdigest(),
-                            len(learned), hashlib.sha256(learned.encode()).hexdigest(), len(whole))):
+                            len(learned), hashlib.sha256(learned.encode()).hexdigest(), len(whole),
+                            told if node["long"] else None, learned if node["long"] else None)):
                         column.append(value)
                 yield record_batch(READ, out)
 
     return trees.mapInArrow(run, READ_DDL)
 
 
-def chat_digests(conversations: DataFrame, sequence_chars: int = SEQUENCE_CHARS) -> DataFrame:
+def _joined(segments: DataFrame) -> DataFrame:
+    """Digests of long conversations; their segments pass a task in their order."""
+    schema = pa.schema([("conv_id", pa.int64()), *(READ.field(c) for c in DIGESTS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def answer() -> pa.RecordBatch:
+            return record_batch(schema, [[at[0]], [n], [turns.hexdigest()], [learned], [loss.hexdigest()], [chars]])
+
+        at = None
+        for part in slices(batches):
+            for conv_id, more, told, own, size in zip(*(part.column(i).to_pylist() for i in (0, 2, 3, 4, 5))):
+                if at != (conv_id,):
+                    if at:
+                        yield answer()
+                    at, n, learned, chars, turns, loss = (conv_id,), 0, 0, 0, hashlib.sha256(), hashlib.sha256()
+                turns.update(told.encode())
+                loss.update(own.encode())
+                n, learned, chars = n + more, learned + len(own), chars + size
+        if at:
+            yield answer()
+
+    return segments.select("conv_id", "segment", "n_turns", "told", "learned", "formatted_chars") \
+        .repartition("conv_id").sortWithinPartitions("conv_id", "segment") \
+        .mapInArrow(run, "conv_id long, " + ", ".join(
+            f"{c} {'string' if c.endswith('sha256') else 'long'}" for c in DIGESTS))
+
+
+def chat_digests(conversations: DataFrame, sequence_chars: int = SEQUENCE_CHARS,
+                 segment_turns: int = SEGMENT_TURNS, segment_chars: int = SEGMENT_CHARS) -> DataFrame:
     """``conv_id`` and what was read back from the trees, for every conversation.
 
     An empty table gives no rows; repeated rows are repeated turns; other columns are left out.
+    A conversation of any length passes one task as a stream, since its digest is of all its
+    turns in their order; a task holds a segment at most.
     """
-    formatted = store(format_conversations(conversations), "conversations")
+    formatted = store(format_conversations(conversations, segment_turns, segment_chars), "conversations")
     trees = store(build_trees(formatted, sequence_chars), "trees")
-    return formatted.select("conv_id", "leaf").join(read_trees(trees), "leaf").drop("leaf")
+    segments = formatted.select("conv_id", "segment", "long", "leaf")
+    whole = segments.filter(~F.col("long")).join(read_trees(trees).drop("told", "learned"), "leaf")
+    with_long = trees.filter(F.exists("nodes", lambda n: n["long"]))
+    long = segments.filter("long").join(read_trees(with_long).filter("told IS NOT NULL"), "leaf")
+    return whole.select("conv_id", *DIGESTS).unionByName(_joined(long))
 
 
 def op4_prefix_tree(spark: SparkSession, folder: str) -> DataFrame:

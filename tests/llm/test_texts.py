@@ -182,6 +182,30 @@ def test_conversations_are_read_back_from_trees(spark, size):
     got = chat.chat_digests(df, size).collect()
     assert sorted(map(tuple, got), key=str) == sorted(slow_chat(CONVERSATIONS), key=str)
     assert chat.chat_digests(df.limit(0)).count() == 0
+    for turns, chars in ((1, 1 << 20), (2, 1 << 20), (1000, 60)):
+        got = chat.chat_digests(df, size, turns, chars).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(slow_chat(CONVERSATIONS), key=str)
+
+
+def test_very_long_conversation_is_cut_and_shared(spark):
+    rng = random.Random(3)
+    turns = [(k, rng.choice(["user", "assistant"]), f"turn {k} <|im_end|> {'x' * rng.randint(0, 30)}") for k in range(7000)]
+    rows = [(1, *t) for t in turns] + [(2, *t) for t in turns[:4100]] + [(3, *t) for t in turns[:2000]]
+    rows += [(4, *t) for t in turns[:2001]] + [(None, *t) for t in turns[:5000]] + [(5, 0, "user", "short")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.chat_digests(df).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(slow_chat(rows), key=str)
+    formatted = chat.format_conversations(df)
+    assert formatted.agg(F.max(F.size("turns"))).head()[0] == chat.SEGMENT_TURNS
+    trees = chat.build_trees(formatted).collect()
+    # Shared turns stand once, and positions go on from one segment to the next.
+    assert sum(len(t.nodes) for t in trees) == 7000 + 1
+    size = 0
+    ends = {}
+    for _, role, text in turns:
+        size += len(chat.format_turn(role, text))
+        ends[size] = True
+    assert {n.position + n.stop - n.start for t in trees for n in t.nodes} >= set(ends)
 
 
 def test_shared_turns_stand_once_with_positions_and_ancestors(spark):
