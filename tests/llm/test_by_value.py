@@ -4,6 +4,7 @@ import pickletools
 import subprocess
 import sys
 
+import numpy as np
 import pytest
 from pyspark import cloudpickle
 
@@ -13,15 +14,17 @@ from buildlens.llm.common import words
 SAMPLES = {
     "stretches": (substring.anchors, ([b"a", b"b"] * 60,)),
     "shingles": (alike.shingles, ("a b c d e f g",)),
-    "bands": (lambda t: alike.band_keys(alike.shingles(t)).tolist(), ("a b c d e f g",)),
+    "bands": (alike.band_keys, (np.arange(9, dtype=np.uint64),)),
     "fingerprint": (simhash.fingerprint, ("a b c d",)),
     "sentences": (toxicity.sentences, ("a b. c",)),
     "repeats": (suffixarray.maximal_repeats, ([b"abcabcabc" * 9, b"xabcabcabc" * 9], 50)),
     "cuts": (codes.cuts, (64, 16)),
     "odd": (tokens._odd, (" a",)),
     "words": (words, ("a b",)),
-    "classifier": (lambda: language.Classifier({"a": b"abc"}).classify("abc"), ()),
-    "lists": (lambda: threshold.SortedLists, ()),
+    "classifier": (language.Classifier, ({"a": b"abc"},)),
+    "lists": (threshold.SortedLists, (np.arange(3), np.ones((3, 2), np.int64))),
+    "bounds": (codes.Bounds, ([np.ones((3, 2), np.int64)],)),
+    "bucket": (alike.Bucket, ([1, 2], [5, 5], [1, 2], [b"a" * 8, b"b" * 8])),
 }
 
 
