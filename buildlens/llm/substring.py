@@ -225,10 +225,8 @@ def _passages(texts: DataFrame, wanted: DataFrame, window: int, single: bool) ->
                             column.append(value)
             yield record_batch(schema, out)
 
-    # One text and one list for all repeats of a row: what they hold is found once.
-    lists = wanted.dropDuplicates(["d", "t", "h", "first"]).groupBy("d", "t") \
-        .agg(F.collect_list(F.struct("h", "first", "n")).alias("rows"))
-    return texts.dropDuplicates(["d", "t"]).join(lists, ["d", "t"]).select("d", "t", "z", "rows") \
+    lists = wanted.groupBy("d", "t").agg(F.collect_list(F.struct("h", "first", "n")).alias("rows"))
+    return texts.join(lists, ["d", "t"]).select("d", "t", "z", "rows") \
         .mapInArrow(run, "h long, d long, t long, first int, text binary")
 
 
@@ -259,12 +257,26 @@ def _search(passages: DataFrame, window: int) -> DataFrame:
         .mapInArrow(run, "d long, t long, start int, stop int")
 
 
+def _rows_once(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``, rows with equal ids and texts once: what they hold is found once.
+
+    They are counted without their texts, and only those that repeat are gathered.
+    """
+    keyed = docs.select(_key().alias("d"), F.xxhash64("text").alias("t"), "doc_id", "text")
+    again = store(keyed.groupBy("d", "t").count().filter("count > 1").select("d", "t"), "again")
+    if not again.head(1):
+        return docs.select("doc_id", "text")
+    once = keyed.join(again, ["d", "t"]).dropDuplicates(["d", "t"])
+    return keyed.join(again, ["d", "t"], "left_anti").unionByName(once).select("doc_id", "text")
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, stretch: int = STRETCH,
                    crowd: int = CROWD) -> DataFrame:
     """``d, t, spans``: the words of each document that an earlier one has, if any.
 
     ``d`` is the id, ``t`` a hash of the text; ``spans`` are disjoint and sorted.
     """
+    docs = _rows_once(docs)
     # Aggregates are stored before they are joined: a join on two plain shuffles is one whose
     # hot keys adaptive execution splits.
     rows = store(_anchor_rows(docs, window, stretch), "anchors")

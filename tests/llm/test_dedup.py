@@ -186,7 +186,5 @@ def test_one_row_repeated_many_times(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = substring.remove_repeats(docs)
     same((tuple(r)[:4] for r in got.collect()), slow_removal(rows, 50))
-    texts = substring._text_rows(docs)
-    wanted = spark.createDataFrame([(1, *r, 0, 10) for r in texts.select("d", "t").collect()],
-                                   "h long, d long, t long, first int, n int")
-    assert substring._passages(texts, wanted, 50, False).count() == 6
+    assert substring._rows_once(docs).count() == 6
+    assert substring._rows_once(docs.dropDuplicates()).count() == 6
