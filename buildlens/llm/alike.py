@@ -4,10 +4,10 @@ Links are proposed twice and kept only where the whole sets are alike. First the
 index over fingerprints of the five-word shingles gives spanning links between texts of
 nearly equal fingerprints. Then texts meet in buckets, one for each of 32 bands of six least
 hashes; two texts of similarity 0.8 share a bucket with a probability of 0.99994, more
-alike ones with a larger one, and texts that share a passage only rarely do. A bucket whose
-texts are of several groups so far proposes stars around its middle text, which alike texts
-join as members of one group, for some rounds. At last it proposes all pairs of different
-groups that their sketches do not exclude, so that nothing that meets is missed.
+alike ones with a larger one, and texts that share a passage only rarely do. A bucket
+proposes stars around its middle text, which alike texts join as members of one group. At
+last buckets whose texts are still of several groups propose all pairs of different groups
+that their sketches do not exclude, so that nothing that meets is missed.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from buildlens.llm.substring import _stretches
 
 SHINGLE = 5
 BANDS, LEAST = 32, 6
-# Rounds of stars, rows and pairs that a task handles at once, sets it remembers.
-ROUNDS, CHUNK, SETS = 3, 1 << 15, 256
+# Rows and pairs that a task handles at once, sets it remembers.
+CHUNK, SETS = 1 << 15, 256
 LAST = (1 << 63) - 1
 
 ROWS = pa.schema([("d", pa.int64()), ("x", pa.int64()), ("t", pa.int64()), ("n", pa.int32()),
@@ -215,13 +215,21 @@ class Bucket:
             yield i, np.flatnonzero(near & (self.root != self.root[i]))
 
 
-def _proposed(met: DataFrame, sets: DataFrame, root: DataFrame, stars: bool) -> DataFrame:
-    """``u, v``: distinct pairs that buckets with texts of several groups propose."""
-    # Buckets of one group have nothing left to say; the others are few.
-    named = store(met.join(root, met.t == root.node, "left").select("h", "t", F.coalesce("root", "t").alias("r")), "rooted")
-    open_ = store(named.groupBy("h").agg(F.min("r").alias("a"), F.max("r").alias("b"))
-                  .filter("a < b").select("h"), "open")
-    rows = named.join(open_, "h").join(sets, "t")
+def _proposed(met: DataFrame, sets: DataFrame, root: DataFrame | None = None) -> DataFrame:
+    """``u, v``: distinct pairs that buckets propose.
+
+    Stars without ``root``; with it all pairs of texts of different groups.
+    """
+    stars = root is None
+    if stars:
+        rows = met.withColumn("r", F.col("t"))
+    else:
+        # Buckets of one group have nothing left to say; the others are few.
+        named = store(met.join(root, met.t == root.node, "left")
+                      .select("h", "t", F.coalesce("root", "t").alias("r")), "rooted")
+        open_ = named.groupBy("h").agg(F.min("r").alias("a"), F.max("r").alias("b")).filter("a < b").select("h")
+        rows = named.join(store(open_, "open"), "h")
+    rows = rows.join(sets, "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def proposals(rows: list[tuple]) -> list[tuple]:
@@ -282,7 +290,7 @@ def _by_fingerprint(sets: DataFrame) -> DataFrame:
     return near.union(same).distinct()
 
 
-def groups(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def groups(docs: DataFrame) -> DataFrame:
     """``d, x, root`` of every row: its id (a null one is the last), a hash of its text, its group.
 
     The group of texts that are reached over links is named by one of them. Texts with equal
@@ -300,14 +308,13 @@ def groups(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                         F.xxhash64("text").alias("x"), "text")
     texts = store(keyed.join(need, ["d", "x"]).select("t", "text").dropDuplicates(["t"]), "texts")
     met_sets = store(sets.join(met.select("t").distinct(), "t").select("t", "n", "sketch"), "sketches")
-    links = store(_verified(first, texts), "links")
-    tested, root = first, store(components(links), "roots")
-    for k in range(rounds + 1):
-        pairs = store(_proposed(met, met_sets, root, k < rounds).join(tested, ["u", "v"], "left_anti"), "proposed")
-        found = store(_verified(pairs, texts), "links")
-        links, tested = links.union(found), tested.union(pairs)
-        if found.head(1):
-            root = store(components(links), "roots")
+    tested = store(first.union(_proposed(met, met_sets)).distinct(), "stars")
+    links = store(_verified(tested, texts), "links")
+    root = store(components(links), "roots")
+    more = store(_proposed(met, met_sets, root).join(tested, ["u", "v"], "left_anti"), "pairs")
+    found = store(_verified(more, texts), "links")
+    if found.head(1):
+        root = store(components(links.union(found)), "roots")
     return rows.join(root, rows.t == root.node, "left").select("d", "x", F.coalesce("root", "t").alias("root"))
 
 
