@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buildlens.llm.common import per_task, record_batch, slices, store, table, words
+from buildlens.llm.common import batched, per_task, record_batch, slices, store, table, words
 
 WINDOW, STRETCH = 50, 10
 # Different passages of an anchor beyond which its windows are counted instead.
@@ -203,27 +203,25 @@ def _passages(texts: DataFrame, wanted: DataFrame, window: int, single: bool) ->
     schema = pa.schema([("h", pa.int64()), ("d", pa.int64()), ("t", pa.int64()),
                         ("first", pa.int32()), ("text", pa.binary())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(part: pa.RecordBatch) -> Iterator[tuple]:
         import xxhash
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
+        for d, t, z, rows in zip(*(part.column(i).to_pylist() for i in range(3)), part.column(3)):
+            found = unpack(z).split()
+            for r in rows.as_py():
+                first, n = r["first"], r["n"]
+                if not single:
+                    yield r["h"], d, t, first, b" ".join(found[first:first + n + window - 1])
+                    continue
+                for i in range(first, first + n):
+                    h = xxhash.xxh3_64_intdigest(b" ".join(found[i:i + window]), seed=r["h"] & LAST)
+                    yield h - (1 << 64) if h > LAST else h, d, t, i, None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            out = [[] for _ in schema]
-            for d, t, z, rows in zip(*(part.column(i).to_pylist() for i in range(4))):
-                found = unpack(z).split()
-                for r in rows:
-                    first, n = r["first"], r["n"]
-                    if single:
-                        cut = [(i, b" ".join(found[i:i + window])) for i in range(first, first + n)]
-                        cut = [(xxhash.xxh3_64_intdigest(x, seed=r["h"] & LAST), i, None) for i, x in cut]
-                        cut = [(h - (1 << 64) if h > LAST else h, i, x) for h, i, x in cut]
-                    else:
-                        cut = [(r["h"], first, b" ".join(found[first:first + n + window - 1]))]
-                    for h, i, x in cut:
-                        for column, value in zip(out, (h, d, t, i, x)):
-                            column.append(value)
-            yield record_batch(schema, out)
+            yield from batched(schema, cut(part), 4)
 
     lists = wanted.groupBy("d", "t").agg(F.collect_list(F.struct("h", "first", "n")).alias("rows"))
     return texts.join(lists, ["d", "t"]).select("d", "t", "z", "rows") \
@@ -332,26 +330,25 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, stretch: int = STRETCH
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()),
                         ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def left(part: pa.RecordBatch) -> Iterator[tuple]:
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
+        for d, z, spans in zip(*(part.column(i).to_pylist() for i in range(2)), part.column(2)):
+            text = unpack(z)
+            found = text.split()
+            merged = _merged((s["start"], s["stop"]) for s in spans.as_py() or ())
+            kept, at = [], 0
+            for a, b in merged:
+                kept += found[at:a]
+                at = b
+            kept += found[at:]
+            yield (None if d == LAST else d, len(found), len(found) - len(kept),
+                   hashlib.sha256(b" ".join(kept)).hexdigest(), _kept(text.decode(), merged))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            out = [[] for _ in schema]
-            for d, z, spans in zip(*(part.column(i).to_pylist() for i in range(3))):
-                text = unpack(z)
-                found = text.split()
-                merged = _merged((s["start"], s["stop"]) for s in spans or ())
-                kept, at = [], 0
-                for a, b in merged:
-                    kept += found[at:a]
-                    at = b
-                kept += found[at:]
-                for column, value in zip(out, (
-                        None if d == LAST else d, len(found), len(found) - len(kept),
-                        hashlib.sha256(b" ".join(kept)).hexdigest(), _kept(text.decode(), merged))):
-                    column.append(value)
-            yield record_batch(schema, out)
+            yield from batched(schema, left(part), 4)
 
     spans = repeated_spans(docs, window, stretch, crowd)
     return _text_rows(docs).join(spans, ["d", "t"], "left").select("d", "z", "spans").mapInArrow(

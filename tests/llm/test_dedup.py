@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from buildlens.llm import graph, simhash, substring
+from buildlens.llm import common, graph, simhash, substring
 from buildlens.llm.queries import QUERIES
 from tests.llm.conftest import ODD, prose
 
@@ -188,3 +188,25 @@ def test_one_row_repeated_many_times(spark):
     same((tuple(r)[:4] for r in got.collect()), slow_removal(rows, 50))
     assert substring._rows_once(docs).count() == 6
     assert substring._rows_once(docs.dropDuplicates()).count() == 6
+
+
+@pytest.mark.parametrize("crowd", [substring.CROWD, 1])
+def test_batches_are_small_however_well_texts_pack(spark, monkeypatch, crowd):
+    """A task gives out what packed texts unpack to, and their windows, bit by bit."""
+    bound, made = 64 << 10, common.record_batch
+
+    def small(schema, columns):
+        batch = made(schema, columns)
+        held = batch.nbytes + 200 * batch.num_rows
+        if "z" not in schema.names and "n" not in schema.names and held > 2 * bound:
+            raise ValueError(f"{held} bytes at once")
+        return batch
+
+    monkeypatch.setattr(common, "SLICE_BYTES", bound)
+    for module in (common, substring):
+        monkeypatch.setattr(module, "record_batch", small)
+    lines = [prose(k, 70) for k in range(30)]
+    rows = [(i, " ".join([lines[i // 2 % 30], f"w{i}", *[lines[i % 30]] * 40])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = substring.remove_repeats(docs, crowd=crowd)
+    same((tuple(r)[:4] for r in got.collect()), slow_removal(rows, 50))
