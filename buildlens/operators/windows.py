@@ -98,10 +98,9 @@ def first_plan(
         .select(*query, "__row.*")
 
 
-def _grams(text: Column) -> Column:
-    """The distinct stretches of three characters, or the whole of a shorter text."""
-    last = F.greatest(F.length(text) - 3, F.lit(0))
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(text, i + 1, F.lit(3))))
+def _parts(text: Column, n: int) -> Column:
+    """The ``n`` characters from each place on; fewer at the end."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
 
 
 def search_first_plan(
@@ -109,33 +108,49 @@ def search_first_plan(
 ) -> DataFrame:
     """First plan whose name contains the query, for each row of ``queries``; no plan, no row.
 
-    The answer to a name search for very many queries and plans. Names are filed by their
-    stretches of three characters. Each distinct query looks under its rarest stretch only, and
-    what it finds there is tested for the whole query, so no query is compared with every name.
-    Queries of one or two characters are looked for among the beginnings and insides of those
-    stretches. Equal names are one, with their first plan. A null or empty query finds nothing.
+    The answer to a name search for very many queries and plans. Each distinct query has a form:
+    a stretch of three of its characters, the place of that stretch in it, and its length. Of the
+    stretches it holds, that one counts whose form has the fewest names for each query of the
+    form. A name gives out what it holds around its stretches in the forms that are asked, and
+    this meets the queries by equality, so neither a query nor a name is compared with others.
+    Queries of one or two characters begin the stretches of the names. Equal names are one, with
+    their first plan. A null or empty query finds nothing.
+
+    The joins are sort-merge joins by hint: a name has as many stretches as characters, which the
+    planner doesn't count when it estimates what is small enough to be broadcast.
     """
     rest = [c for c in plans.columns if c not in {*order, name}]
-    row = F.struct(*order, *rest)
     named = plans.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("__name")).agg(
-        F.min_by(row, F.struct(*order)).alias("__plan"))
+        F.min_by(F.struct(*order, *rest), F.struct(*order)).alias("__plan"))
     asked = queries.select(F.col(query).alias("__query")).filter(F.length(query) > 0).distinct()
-    filed = named.select("__name", F.explode(_grams(F.col("__name"))).alias("__gram"))
-    count = filed.groupBy("__gram").agg(F.count("*").alias("__n"))
-    # A short query is part of the stretches that contain it.
-    long = asked.filter(F.length("__query") >= 3).select("__query", F.explode(_grams(F.col("__query"))).alias("__gram"))
-    looked = long.join(count, "__gram", "left").groupBy("__query").agg(
-        F.min_by("__gram", F.struct(F.coalesce("__n", F.lit(0)), F.col("__gram"))).alias("__gram"))
-    parts = F.flatten(F.transform(F.sequence(F.lit(1), F.length("__gram")), lambda i: F.transform(
-        F.sequence(F.lit(1), F.lit(2)), lambda n: F.substring(F.col("__gram"), i, n))))
-    short = count.select("__gram", F.explode(F.array_distinct(parts)).alias("__query")) \
-        .join(asked, "__query", "left_semi").select("__query", "__gram")
-    found = looked.unionByName(short).join(filed, "__gram") \
-        .filter(F.contains("__name", "__query")).join(named, "__name").groupBy("__query").agg(
-        F.min_by(F.struct(F.col("__name").alias(name), "__plan"), F.struct(*[f"__plan.{c}" for c in order], "__name"))
-        .alias("__found"))
-    return queries.join(found, F.col(query) == F.col("__query")) \
-        .select(*queries.columns, f"__found.{name}", "__found.__plan.*")
+    stretches = F.posexplode(_parts(F.col("__name"), 3)).alias("__pos", "__gram")
+    count = named.select("__name", stretches).groupBy("__gram").agg(F.count("*").alias("__n")).hint("merge")
+    whole = F.length("__gram") == 3
+    long = asked.filter(F.length("__query") > 2).select(
+        "__query", F.length("__query").alias("__len"), F.posexplode(_parts(F.col("__query"), 3)).alias("__at", "__gram")).filter(whole)
+    form = ["__gram", "__at", "__len"]
+    cost = F.coalesce("__n", F.lit(0)) / F.col("__m")
+    costs = long.groupBy(*form).agg(F.count("*").alias("__m")).join(count, "__gram", "left").select(*form, cost.alias("__cost"))
+    chosen = long.join(costs.hint("merge"), form).groupBy("__query").agg(
+        F.min(F.struct("__cost", *form)).alias("__form")).select(*[f"__form.{c}" for c in form])
+    begins = F.array_distinct(F.transform(F.array(F.lit(1), F.lit(2)), lambda n: F.substring(F.col("__gram"), F.lit(1), n)))
+    short = count.select("__gram", F.explode(begins).alias("__query")).join(asked.hint("merge"), "__query", "left_semi") \
+        .select("__gram", F.lit(0).alias("__at"), F.length("__query").alias("__len"))
+    forms = chosen.unionByName(short).distinct()
+    first = F.col("__pos") - F.col("__at") + 1
+    key = F.struct(*[F.col(f"__plan.{c}").alias(f"o{i}") for i, c in enumerate(order)])
+    # The partial aggregation leaves one row of a text to a task, however many names hold it.
+    found = named.select("__name", key.alias("__order"), stretches).join(forms.hint("merge"), "__gram") \
+        .filter((first > 0) & (first + F.col("__len") <= F.length("__name") + 1)) \
+        .groupBy(F.substring("__name", first, F.col("__len")).alias("__query")) \
+        .agg(F.min(F.struct("__order", F.col("__name").alias("name"))).alias("__key"))
+    answers = queries.join(found.hint("merge"), F.col(query) == F.col("__query"))
+    if rest:
+        answers = answers.join(named.hint("merge"), F.col("__key.name") == F.col("__name"))
+        kept = ["__plan.*"]
+    else:
+        kept = [F.col(f"__key.__order.o{i}").alias(c) for i, c in enumerate(order)]
+    return answers.select(*queries.columns, F.col("__key.name").alias(name), *kept)
 
 
 def distinct_sorted_tags(df: DataFrame, col: str = "tag") -> DataFrame:

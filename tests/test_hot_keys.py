@@ -220,3 +220,15 @@ def test_name_search(rows):
     assert got.columns == ["query", "i", "name", "plan_id", "owner"] and len(want) > 60
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_name_search_neither_broadcasts_nor_compares(rows):
+    """Stretches are many times what the planner estimates, and common stretches pair up with the square of the names."""
+    plans = [(j, i, f"p-user{i}") for i in range(300) for j in (2, 1)]
+    queries = [(f"user{i}",) for i in range(0, 300, 7)] + [("r",), ("p-",), ("er29",), ("serr",), ("user3000",)]
+    got = windows.search_first_plan(rows(queries, "query string"), rows(plans, "day int, plan_id int, name string"),
+                                    order=["day", "plan_id"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Contains" not in plan
+    want = {q: min(p for p in plans if q in p[2]) for (q,) in queries if any(q in p[2] for p in plans)}
+    assert {x.query: (x.day, x.plan_id, x.name) for x in got.collect()} == want and len(want) == len(queries) - 2
