@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from buildlens import schemas
-from buildlens.session import scratch
+from buildlens.session import scratch, shuffles_deleted
 
 
 # Files up to this size are read as a whole, larger ones line by line.
 WHOLE_BYTES = 64 << 20
+# Lines of a compressed file that is written, some 20 MB of text.
+PACKED_LINES = 200_000
 _LONGS = [f.name for f in schemas.CI_RESULT.fields if isinstance(f.dataType, T.LongType)]
 # A record as it is parsed: numbers stay text until it is known whether they are some.
 _RECORD = T.StructType(
@@ -86,10 +90,13 @@ def read_ci_results(
     folder = scratch(spark, "ci-results")
     flat.write.partitionBy("kind").parquet(folder)
     stored = spark.read.schema(flat.schema).parquet(folder)
-    bad = stored.filter(F.col("kind") == "edge").groupBy("source").agg(
+    # Written too, so that the planner knows how few files these are, and does not shuffle records for them.
+    folder = scratch(spark, "ci-errors")
+    stored.filter(F.col("kind") == "edge").groupBy("source").agg(
         F.sum("edge").alias("open"), F.max("error").alias("__e")
     ).select("source", F.coalesce("__e", F.when(F.col("open") != 0, "an array has no end")).alias("__e")) \
-        .filter(F.col("__e").isNotNull())
+        .filter(F.col("__e").isNotNull()).hint("rebalance").write.parquet(folder)
+    bad = spark.read.schema("source string, __e string").parquet(folder)
 
     def of(name: str, fields: list[str]) -> DataFrame:
         out = stored.filter(F.col("kind") == name)
@@ -107,6 +114,7 @@ def read_ci_results(
 def write_ci_results(
     tasks: DataFrame, runs: DataFrame, path: str, key: str = "run_id",
     notifies: DataFrame | None = None, mode: str = "errorifexists", crowd: int = 1_000_000,
+    compression: str | None = None,
 ) -> None:
     """A JSON array per run: its task rows, its run row, then its notify row if any.
 
@@ -114,7 +122,12 @@ def write_ci_results(
     file. The tasks of a run with more than ``crowd`` of them spread over files, and so each
     is an array of its own on one line; so is a task of a key without a run row. Every file
     holds whole arrays and is read by both layouts. Nothing is collected per run.
+
+    With a ``compression``, such as ``gzip``, files are made of about ``PACKED_LINES`` lines each
+    and runs of more tasks are spread, since a reader sees only the compressed size of a file.
     """
+    spark = tasks.sparkSession
+
     def record(df: DataFrame, names: list[str]) -> Column:
         fields = [F.col(n) for n in names if n in df.columns]
         return F.to_json(F.struct(F.col(key).cast("string").alias("run_key"), *fields))
@@ -122,36 +135,45 @@ def write_ci_results(
     def line(df: DataFrame, position: int, text: Column) -> DataFrame:
         return df.select(F.col(key).alias("k"), F.lit(position).alias("p"), text.alias("value"))
 
-    task_lines = line(tasks, 1, record(tasks, schemas.TASK_RESULT_FIELDS))
     run_record = record(runs, schemas.RUN_RESULT_FIELDS)
-    frame = runs.select(
-        F.col(key).alias("k"),
-        F.explode(F.array(
-            F.struct(F.lit(0).alias("p"), F.lit("[").alias("value")),
-            F.struct(F.lit(2).alias("p"), F.concat(
-                run_record, F.lit("," if notifies is not None else "")).alias("value")),
-            F.struct(F.lit(4).alias("p"), F.lit("]").alias("value")),
-        )).alias("l"),
-    ).select("k", "l.*")
-    lines = task_lines.unionByName(frame)
+    records = line(tasks, 1, record(tasks, schemas.TASK_RESULT_FIELDS)).unionByName(
+        line(runs, 2, F.concat(run_record, F.lit("," if notifies is not None else ""))))
     if notifies is not None:
-        lines = lines.unionByName(line(notifies, 3, record(notifies, schemas.NOTIFY_RESULT_FIELDS)))
-    keys = tasks.select(F.col(key).alias("k"), F.lit(1).alias("task")) \
-        .unionByName(runs.select(F.col(key).alias("k"), F.lit(0).alias("task")))
-    apart = keys.groupBy("k").agg(F.sum("task").alias("n"), F.min("task").alias("missing")) \
-        .filter((F.col("n") > crowd) | (F.col("missing") == 1)) \
-        .select("k", F.ceil(F.col("n") / F.lit(crowd)).alias("parts"))
-    alone = F.col("parts").isNotNull()
-    task = F.col("p") == 1
-    # Rows that agree in k and part are never dealt to different files.
-    part = F.when(task & alone, F.pmod(F.xxhash64("value"), "parts") + 1).otherwise(0)
-    value = F.when(task & alone, F.concat(F.lit("["), F.col("value"), F.lit("]"))) \
-        .when(task, F.concat("value", F.lit(","))).otherwise(F.col("value"))
-    (
-        lines.join(apart, "k", "left").select("k", "p", part.alias("part"), value.alias("value"))
-        .repartitionByRange("k", "part").sortWithinPartitions("k", "part", "p", "value")
-        .select("value").write.mode(mode).text(path)
-    )
+        records = records.unionByName(line(notifies, 3, record(notifies, schemas.NOTIFY_RESULT_FIELDS)))
+    with shuffles_deleted(spark):
+        # Stored, since they are read more than once, and what was shuffled to make them goes before they are shuffled.
+        folder = scratch(spark, "ci-records")
+        records.write.parquet(folder, compression="zstd")
+        records = spark.read.schema(records.schema).parquet(folder)
+        files = []
+        if compression:
+            crowd = min(crowd, PACKED_LINES)
+            # A run has two lines more than its record. What fits into one file is left to the planner.
+            n = math.ceil((records.count() + 2 * records.filter(F.col("p") == 2).count()) / PACKED_LINES)
+            files = [n] if n > 1 else []
+        # Crowds are few. They are written too, so that the planner knows it and shuffles the records once.
+        folder = scratch(spark, "ci-crowds")
+        records.filter(F.col("p") == 1).groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") > crowd) \
+            .select("k", F.ceil(F.col("n") / F.lit(crowd)).alias("parts")).hint("rebalance").write.parquet(folder)
+        crowds = spark.read.schema(T.StructType([records.schema["k"], T.StructField("parts", T.LongType())])).parquet(folder)
+        # Rows that agree in k and part are never dealt to different files.
+        spread = F.when(F.col("p") == 1, F.pmod(F.xxhash64("value"), "parts") + 1)
+        dealt = records.join(crowds, "k", "left").select("k", F.coalesce(spread, F.lit(0)).alias("part"), "p", "value") \
+            .repartitionByRange(*files, "k", "part")
+        frame = F.array(*[F.struct(p.alias("p"), v.alias("value")) for p, v in (
+            (F.lit(0), F.lit("[")), (F.col("p"), F.col("value")), (F.lit(4), F.lit("]")))])
+        lines = dealt.select("k", "part", F.explode(
+            F.when(F.col("p") == 2, frame).otherwise(F.slice(frame, 2, 1))).alias("l")).select("k", "part", "l.*")
+        # The line that opens its array comes first; where it does not, a task has no run.
+        opened = F.first("p").over(Window.partitionBy("k", "part").orderBy("p", "value"))
+        alone = (F.col("part") > 0) | (F.col("k").isNotNull() & (F.col("opened") != 0))
+        task = F.col("p") == 1
+        value = F.when(task & alone, F.concat(F.lit("["), F.col("value"), F.lit("]"))) \
+            .when(task, F.concat("value", F.lit(","))).otherwise(F.col("value"))
+        (
+            lines.withColumn("opened", opened).sortWithinPartitions("k", "part", "p", "value")
+            .select(value.alias("value")).write.mode(mode).text(path, compression=compression)
+        )
 
 
 def read_it_subtasks(df: DataFrame, col: str = "description") -> DataFrame:

@@ -1,7 +1,9 @@
 """Readers and writers on small hand-made files; the report layouts follow the public formats."""
 
+import gzip
 import hashlib
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -147,6 +149,35 @@ def test_arrays_stay_in_one_file_but_for_crowded_runs(spark, rows, tmp_path, man
             assert got.filter("_error IS NOT NULL").count() == 0 and got.filter("run_key = '7'").count() == 925
 
 
+def test_written_results_take_little_disk(spark, rows, tmp_path, monkeypatch):
+    """Packed files of few lines, no shuffle files left behind, and none made to read them."""
+    def shuffled():
+        files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().toList()
+        return {f for f in (files.apply(i).getName() for i in range(files.size())) if f.startswith("shuffle_")}
+
+    monkeypatch.setattr(results, "PACKED_LINES", 200)
+    tasks = rows([(i % 60, f"t{i}", "task") for i in range(1500)] + [(7, f"hot{i}", "task") for i in range(900)]
+                 + [(99, "alone", "task"), (99, "alone", "task")], "run_id int, name string, type string")
+    tasks = tasks.repartition("name")
+    runs = rows([(i, f"r{i}", "TiPipeline") for i in range(60)], "run_id int, name string, type string")
+    before = shuffled()
+    results.write_ci_results(tasks, runs, str(tmp_path / "o"), compression="gzip")
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffled() - before
+    texts = [gzip.decompress(p.read_bytes()).decode() for p in (tmp_path / "o").glob("part-*.gz")]
+    assert sum(t.count("\n") for t in texts) == 2402 + 3 * 60 and max(t.count("\n") for t in texts) < 600
+    assert all(t.count("[\n") == t.count("]\n") - t.count("}]\n") for t in texts)
+    assert sum(t.count('[{"run_key":"99","name":"alone","type":"task"}]\n') for t in texts) == 2
+    assert sum(t.count("}]\n") for t in texts) == 925 + 2
+    got = results.read_ci_results(spark, str(tmp_path / "o"))
+    for df in got:
+        assert "Exchange hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.run_key, r.name) for r in got[0].collect()) == sorted((str(r.run_id), r.name) for r in tasks.collect())
+    assert got[0].filter("_error IS NOT NULL").count() == 0 and got[1].count() == 60
+
+
 def test_subtasks(rows):
     df = rows([(1, '[{"status":"success"},{"x":1}]'), (2, ""), (3, None), (4, "[]")], "i int, description string")
     got = results.read_it_subtasks(df).collect()
